@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secret_scan, token_counts, toxicity, url_filter
+from . import exact_dedup, mixing, piece_codec, secret_scan, token_counts, topk_search, toxicity, url_filter
 from .common import table
 
 # The rules of op2, (verdict, host, path).
@@ -23,6 +23,11 @@ URL_RULES = [
 TOKEN_LIMIT = 2048
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk_search.quantised(F.col("embedding")).alias("v"))
+    return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -41,6 +46,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -59,9 +70,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk_search": op1_topk_search,
         "op2_url_filter": op2_url_filter,
         "op3_toxicity": op3_toxicity,
         "op5_token_counts": op5_token_counts,
+        "op7_piece_codec": op7_piece_codec,
         "op8_secret_scan": op8_secret_scan,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mix_sources": op10_mix_sources,

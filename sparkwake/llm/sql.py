@@ -6,6 +6,17 @@ from .mixing import BLOCK_WORDS, MAX_REPEAT, SEED, SHARD_WORDS, WEIGHTS
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP1 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
 OP9 = f"""
 with d as (select doc_id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') as norm from documents),
 g as (select norm, max(doc_id) as keep_id, count(*) as group_size from d group by norm)
@@ -82,4 +93,4 @@ select doc_id, size, source_size, target, taken from (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9, "op10_mix_sources": mix_sql()}
+    return {"op1_topk_search": OP1, "op9_exact_dedup": OP9, "op10_mix_sources": mix_sql()}
