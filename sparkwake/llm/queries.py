@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, piece_codec, secret_scan, token_counts, topk_search, toxicity, url_filter
+from . import exact_dedup, mixing, near_dedup, piece_codec, secret_scan, token_counts, topk_search, toxicity, url_filter
 from .common import table
 
 # The rules of op2, (verdict, host, path).
@@ -41,6 +41,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk_search": op1_topk_search,
         "op2_url_filter": op2_url_filter,
         "op3_toxicity": op3_toxicity,
+        "op4_near_dedup": op4_near_dedup,
         "op5_token_counts": op5_token_counts,
         "op7_piece_codec": op7_piece_codec,
         "op8_secret_scan": op8_secret_scan,

@@ -17,6 +17,21 @@ r as (select query_id, (row_number() over (partition by query_id order by score
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
+OP4 = f"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 1 then [w[1]]
+    else list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) end as s from d),
+t as (select doc_id, len(s)::bigint as n, unnest(s) as x from s),
+pairs as (select a.doc_id as a, b.doc_id as b, a.n + b.n - count(*) as u, count(*) as c from t a join t b using (x) where a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n),
+links as (select a, b from pairs where 100 * c >= 80 * u),
+edges as (select a as x, b as y from links union all select b, a from links),
+reach as (select doc_id as x, doc_id as y from documents union select reach.x, edges.y from reach join edges on reach.y = edges.x),
+roots as (select x as doc_id, min(y) as component_id from reach group by x)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join roots using (doc_id)
+"""
+
 OP9 = f"""
 with d as (select doc_id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') as norm from documents),
 g as (select norm, max(doc_id) as keep_id, count(*) as group_size from d group by norm)
@@ -93,4 +108,4 @@ select doc_id, size, source_size, target, taken from (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1, "op9_exact_dedup": OP9, "op10_mix_sources": mix_sql()}
+    return {"op1_topk_search": OP1, "op4_near_dedup": OP4, "op9_exact_dedup": OP9, "op10_mix_sources": mix_sql()}
