@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, piece_codec, secret_scan, token_counts, topk_search, toxicity, url_filter
+from . import exact_dedup, mixing, near_dedup, piece_codec, repeat_spans, secret_scan, token_counts, topk_search, toxicity, url_filter
 from .common import table
 
 # The rules of op2, (verdict, host, path).
@@ -51,6 +51,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op6_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return repeat_spans.without_spans(docs, repeat_spans.repeated_spans(docs)).drop("kept")
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     decoded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), path), path)
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_near_dedup": op4_near_dedup,
         "op5_token_counts": op5_token_counts,
+        "op6_repeat_spans": op6_repeat_spans,
         "op7_piece_codec": op7_piece_codec,
         "op8_secret_scan": op8_secret_scan,
         "op9_exact_dedup": op9_exact_dedup,
