@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,21 +16,43 @@ from .common import small_batches
 #: Bounds of the training sample: clean and toxic rows, and bytes of text of each.
 SAMPLE_ROWS = (2500, 1000)
 SAMPLE_BYTES = 12 << 20
-BUCKETS = 1 << 18
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 DIM = 8
 NGRAMS = (3, 6)
-WINDOW, STEP = 12, 4
+WINDOW, STEP = 4, 2
 THRESHOLD = 0.7
 EPOCHS, ROUNDS = (2, 2), 8
 #: Distinct words whose sums a worker remembers.
-WORDS = 300_000
+WORDS = 600_000
 
+_BLANK = dict.fromkeys(map(ord, ".,;:!?\"()"), " ")
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(256, 0xD6E8FEB86659FD93, np.uint64))
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word's character n-grams, ends marked, and of the word itself."""
-    marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in range(NGRAMS[0], NGRAMS[1] + 1) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams | {marked})]
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word's character n-grams, ends marked, and of the word itself: (word's place, bucket) pairs.
+
+    A rolling hash over all words laid end to end; windows that would leave their word are dropped.
+    """
+    marked = [f"<{w}>" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(chars)) - np.repeat(starts, sizes)
+    whole = np.add.reduceat(chars * _POWERS[place % len(_POWERS)], starts) if len(words) else np.zeros(0, np.uint64)
+    owners, hashes = [np.arange(len(words))], [whole]
+    rolling = chars.copy()
+    for n in range(2, NGRAMS[1] + 1):
+        rolling = rolling[:-1] * _PRIME + chars[n - 1 :]
+        if n >= NGRAMS[0]:
+            inside = owner[: len(rolling)] == owner[n - 1 :]
+            owners.append(owner[: len(rolling)][inside])
+            hashes.append(rolling[inside] + np.uint64(n))
+    mixed = np.concatenate(hashes) * _PRIME
+    return np.concatenate(owners), ((mixed ^ (mixed >> np.uint64(32))) * _PRIME >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
 @dataclass
@@ -43,17 +64,18 @@ class Model:
 
 
 class _Bags:
-    """Subwords of many bags, laid end to end."""
+    """Bags of words, each word a run of subwords in one flat array."""
 
-    def __init__(self, bags: list[list[str]], grams: dict[str, np.ndarray]):
-        parts = [np.concatenate([grams[w] for w in bag]) if bag else np.zeros(1, np.int32) for bag in bags]
-        self.sizes = np.array([len(p) for p in parts])
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    def __init__(self, bags: list[np.ndarray], flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.bags, self.flat, self.starts, self.sizes = bags, flat, starts, sizes
 
     def take(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate([self.flat[self.starts[i] : self.starts[i + 1]] for i in picked])
-        return flat, self.sizes[picked]
+        words = np.concatenate([self.bags[i] for i in picked])
+        sizes = self.sizes[words]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[words] - (ends - sizes), sizes)
+        per_bag = np.add.reduceat(sizes, np.cumsum([0] + [len(self.bags[i]) for i in picked[:-1]]))
+        return self.flat[at], per_bag
 
 
 def _descend(bags: _Bags, y: np.ndarray, emb: np.ndarray, out: np.ndarray, bias: np.ndarray, grad2: list, epochs: int, rng) -> None:
@@ -83,6 +105,11 @@ def _descend(bags: _Bags, y: np.ndarray, emb: np.ndarray, out: np.ndarray, bias:
             bias -= 0.2 * d_bias / np.sqrt(grad2[2] + 1e-6)
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words without the punctuation around them."""
+    return text.lower().translate(_BLANK).split()
+
+
 def _windows(n: int) -> np.ndarray:
     if n <= WINDOW:
         return np.zeros(1, np.int64)
@@ -100,31 +127,38 @@ def _window_logits(sums: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarr
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     """Fit on whole texts, then on the windows that decide: a toxic text is so by its worst passage.
 
-    First every text is one bag. Then, ROUNDS times, each toxic text's highest-scoring window stands for it, against
-    the three highest-scoring windows and a random one of each clean text, and training goes on from there.
+    First every text is one bag. Then, ROUNDS times, the four highest-scoring windows of each toxic text stand for it, against
+    the two highest and a random one of each clean text, and training goes on from there.
     """
     rng = np.random.default_rng(seed)
     y = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS), 9.0 if toxic and toxic[0] else -9.0)
-    words = [t.lower().split() for t in texts]
-    grams = {w: np.array(subwords(w), np.int32) for w in {w for doc in words for w in doc}}
+    docs = [words_of(t) for t in texts]
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for doc in docs for w in doc))}
+    docs = [np.fromiter(map(vocabulary.__getitem__, doc), np.int32, len(doc)) for doc in docs]
+    held = [i for i, doc in enumerate(docs) if len(doc)]
+    docs, y = [docs[i] for i in held], y[held]
+    owner, bucket = subwords(list(vocabulary))
+    order = np.argsort(owner, kind="stable")
+    flat, sizes = bucket[order], np.bincount(owner, minlength=len(vocabulary))
+    starts = np.cumsum(sizes) - sizes
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.uniform(-1, 1, (DIM, 2)), np.zeros(2)
     grad2 = [np.zeros(BUCKETS), np.zeros_like(out), np.zeros(2)]
-    _descend(_Bags([sorted(set(doc)) for doc in words], grams), y, emb, out, bias, grad2, EPOCHS[0], rng)
+    _descend(_Bags([np.unique(doc) for doc in docs], flat, starts, sizes), y, emb, out, bias, grad2, EPOCHS[0], rng)
     for _ in range(ROUNDS):
         model = Model(emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
-        known = {w: complex(model.share[g].sum(), len(g)) for w, g in grams.items()}
+        known = np.add.reduceat(model.share[flat], starts) + 1j * sizes
         bags, marks = [], []
-        for doc, label in zip(words, toxic, strict=True):
-            starts, logits = _window_logits(np.array([known[w] for w in doc], complex), model)
+        for doc, label in zip(docs, y, strict=True):
+            windows, logits = _window_logits(known[doc], model)
             best = np.argsort(-logits, kind="stable")
-            picked = [*starts[best[:1]]] if label else [*starts[best[:3]], *rng.choice(starts, 1)]
+            picked = [*windows[best[:4]]] if label else [*windows[best[:2]], *rng.choice(windows, 1)]
             bags += [doc[s : s + WINDOW] for s in picked]
             marks += [label] * len(picked)
-        _descend(_Bags(bags, grams), np.array(marks, np.int64), emb, out, bias, grad2, EPOCHS[1], rng)
-    return Model((emb @ (out[:, 1] - out[:, 0])), float(bias[1] - bias[0]))
+        _descend(_Bags(bags, flat, starts, sizes), np.array(marks, np.int64), emb, out, bias, grad2, EPOCHS[1], rng)
+    return Model(emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
 def held_out(id_col: str):
@@ -144,37 +178,33 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return texts.select("text", "y").orderBy("y", "turn", id_col, "text").collect()
 
 
-class _Sums(dict):
-    """word -> complex(sum of its subwords' shares, their number), computed once and bounded."""
-
-    def __init__(self, share: list[float]):
-        super().__init__()
-        self.share = share
+def learn_sums(words: set[str], sums: dict[str, complex], share: np.ndarray) -> None:
+    """Add to sums: word -> complex(sum of its subwords' shares, their number)."""
+    fresh = sorted(w for w in words if w not in sums)
+    if fresh:
+        owner, bucket = subwords(fresh)
+        made = np.bincount(owner, share[bucket], len(fresh)) + 1j * np.bincount(owner, minlength=len(fresh))
+        sums.update(zip(fresh, made.tolist(), strict=True))
 
-    def __missing__(self, word: str) -> complex:
-        ids = subwords(word)
-        made = self[word] = complex(sum(map(self.share.__getitem__, ids)), len(ids))
-        return made
 
+def probability(words: list[str], sums: dict[str, complex], model: Model) -> float:
+    """That of the worst window; of the empty bag if there are no words."""
+    logit = model.bias
+    if words:
+        logit = float(_window_logits(np.fromiter(map(sums.__getitem__, words), complex, len(words)), model)[1].max())
+    return float(1 / (1 + np.exp(-min(max(logit, -60), 60))))
 
-def score_batches(model: Model):
-    share = model.share.astype(np.float32)
 
+def score_batches(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(share.tolist())
+        sums: dict[str, complex] = {}
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").lower().split()
-                if words:
-                    each = np.fromiter(map(sums.__getitem__, words), complex, len(words))
-                    logit = float(_window_logits(each, model)[1].max())
-                else:
-                    logit = model.bias
-                scores.append(1 / (1 + np.exp(-min(max(logit, -60), 60))))
-                if len(sums) > WORDS:
-                    sums.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            docs = [words_of(text or "") for text in batch.column(batch.num_columns - 1).to_pylist()]
+            if len(sums) > WORDS:
+                sums = {}
+            learn_sums({w for doc in docs for w in doc}, sums, model.share)
+            scores = [probability(doc, sums, model) for doc in docs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names)
 
     return run
 
@@ -184,16 +214,18 @@ def fit(docs: DataFrame, labels: DataFrame, **names: str) -> Model:
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), score_col: str = "score"
+) -> DataFrame:
     """Probability of toxicity of every whole text: that of its worst window of WINDOW words.
 
     A window is the mean of its words' subword vectors, put through the softmax. Null and empty texts get the
-    score of an empty bag, the bias; rows that repeat are scored each; other columns are ignored.
+    score of an empty bag, the bias; rows that repeat are scored each; of other columns those in ``carry`` are kept.
 
-    Returns doc_id, score.
+    Returns the carried columns and the score.
     """
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        score_batches(model), f"doc_id {kind}, score double"
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(*carry, F.col(text_col).alias("__text")).mapInArrow(
+        score_batches(model, [*carry, score_col]), f"{kinds}, `{score_col}` double"
     )
