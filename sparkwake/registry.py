@@ -1,11 +1,15 @@
-"""All registered queries of the reference's own operators, with their SQL."""
+"""All registered queries of the time-series operators, with their SQL."""
 
 from __future__ import annotations
 
+from .plans import queries_asof, queries_path
+
+_ALL = queries_asof.Q | queries_path.Q
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
