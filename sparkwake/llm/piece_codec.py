@@ -18,13 +18,24 @@ from .common import materialise, small_batches
 
 SPACE = "▁"
 #: Code points of a chunk; how far a cut may move to a place that no piece crosses.
-CHUNK, SOFT = 32_768, 1_024
+CHUNK, SOFT = 262_144, 1_024
 #: Distinct segments, and pairs of pieces, that a worker remembers.
-SEGMENTS, PAIRS = 250_000, 1_000_000
+SEGMENTS, PAIRS = 500_000, 2_000_000
 NEVER = float("-inf")
 
 State = tuple[int, str]
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+
+
+class _Segments(dict):
+    """Ids of the segments met so far."""
+
+    def __init__(self, code: PieceCodec):
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, segment: str) -> tuple[int, ...]:
+        made = self[segment] = self.code.encode_segment(segment)
+        return made
 
 
 class PieceCodec:
@@ -50,7 +61,15 @@ class PieceCodec:
             raise ValueError("pieces of this model cross spaces or line ends")
         self.follow: dict[str, dict[str, bool]] = {"": {}}
         self.known = 0
-        self.segments: dict[str, tuple[int, ...]] = {}
+        self.segments = _Segments(self)
+        self.segment = self._pattern()
+
+    def _pattern(self) -> re.Pattern:
+        """Segments between places that no piece crosses: spaces, line ends, and marks that no piece joins to a letter before."""
+        pairs = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
+        marks = "".join(c for c in ".,;:!?" if not any(x.isalpha() and y == c for x, y in pairs))
+        plain = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
+        return re.compile(f"{SPACE}?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{marks}])|{plain}" if marks else plain)
 
     def fits(self, left: str, right: str) -> bool:
         """Whether the encoder leaves left + right as these two; characters without a piece stand alone."""
@@ -92,23 +111,35 @@ class PieceCodec:
         """Ids of the path that ends at ``stop``."""
         path = []
         while stop > start:
-            path.append(pieces[stop])
+            path.append(self.ids.get(pieces[stop], pieces[stop]))
             stop = begins[stop]
-        return list(chain.from_iterable(self._ids(p) for p in reversed(path)))
-
-    def _ids(self, piece: str) -> tuple[int, ...]:
-        known = self.ids.get(piece)
-        return (known,) if known is not None else tuple(self.byte[b] for b in piece.encode())
-
-    def __getitem__(self, segment: str) -> tuple[int, ...]:
-        known = self.segments.get(segment)
-        if known is None:
-            pieces, begins = self.walk(segment, 0, "")
-            known = self.segments[segment] = tuple(self.trace(pieces, begins, 0, len(segment)))
-        return known
+        path.reverse()
+        if str in map(type, path):
+            return [i for p in path for i in ([self.byte[b] for b in p.encode()] if isinstance(p, str) else [p])]
+        return path
+
+    def encode_segment(self, segment: str) -> tuple[int, ...]:
+        """The walk from a segment's start, where some piece can always end; back along it for the ids."""
+        follow, longest = self.follow, self.longest
+        pieces, begins, tables = [""], [0], [follow[""]]
+        for i in range(1, len(segment) + 1):
+            for j in range(i - 1, max(-1, i - longest - 1), -1):
+                piece = segment[j:i]
+                fit = tables[j].get(piece)
+                if fit is None:
+                    fit = tables[j][piece] = self.fits(pieces[j], piece)
+                    self.known += 1
+                if fit:
+                    break
+            else:
+                raise ValueError(f"no pieces for {segment[:i]!r}")
+            pieces.append(piece)
+            begins.append(j)
+            tables.append(follow.setdefault(piece, {}))
+        return tuple(self.trace(pieces, begins, 0, len(segment)))
 
     def encode(self, escaped: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, _SEGMENT.findall(escaped))))
+        return list(chain.from_iterable(map(self.segments.__getitem__, self.segment.findall(escaped))))
 
     def forget(self) -> None:
         if len(self.segments) > SEGMENTS:
@@ -253,7 +284,7 @@ def _list_array(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """Piece ids of every whole text, as the model's own library gives them.
 
     Texts of up to ``chunk`` code points are one chunk and never leave their task. Longer texts are cut into
@@ -264,7 +295,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str,
     Null texts count as empty and have no ids; rows that repeat are encoded each; of other columns those in
     ``carry`` are kept.
 
-    Returns the carried columns and ids (array<int>).
+    Returns the carried columns and ids (array<int>); with ``decoded`` also what decode() makes of the ids, in the same pass.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(*carry, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -275,16 +306,20 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str,
         code = codec(path)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            ids = _list_array([code.encode(escape(t)) for t in texts])
+            ids = [code.encode(escape(t)) for t in texts]
             code.forget()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*carry, "ids"])
+            columns = [*batch.columns[:-1], _list_array(ids)]
+            if decoded:
+                columns.append(pa.array(map(code.decode, ids), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [*carry, "ids", "decoded"][: len(columns)])
 
-    small = rows.where(~big).mapInArrow(whole, f"{kinds}, ids array<int>")
+    small = rows.where(~big).mapInArrow(whole, f"{kinds}, ids array<int>" + ", decoded string" * decoded)
     giants = materialise(rows.where(big).withColumn("__key", F.sha2("__text", 256)))
     if giants.isEmpty():
         return small
     long = _encode_giants(giants.select("__key", "__text").dropDuplicates(["__key"]), path, chunk)
-    return small.unionByName(giants.drop("__text").join(long, "__key").drop("__key"))
+    large = giants.drop("__text").join(long, "__key").drop("__key")
+    return small.unionByName(decode(large, path) if decoded else large)
 
 
 def _encode_giants(giants: DataFrame, path: str, chunk: int) -> DataFrame:

@@ -57,9 +57,8 @@ def op6_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), path), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
