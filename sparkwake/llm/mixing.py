@@ -137,3 +137,20 @@ def mix(
     return taken.unionByName(none).join(sources.select("skey", "source_size", "target"), "skey").select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+def draw_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it: taken / size times, the fraction by a seeded draw.
+
+    Rows that repeat an id are told apart by size and source, and where these agree share what is taken of them.
+    """
+    mixed = mix(docs, id_col, text_col, source_col, seed=seed).where("taken > 0").select("doc_id", "size", "taken")
+    shares = mixed.groupBy("doc_id", "size").agg((F.sum("taken") / F.count("*")).alias("taken"))
+    chance = md5_int(F.lit(seed), F.lit("copies"), "doc_id") / F.lit(float(1 << 32))
+    copies = shares.withColumn("ratio", F.col("taken") / F.col("size")).select(
+        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), (F.floor("ratio") + (chance < F.col("ratio") - F.floor("ratio")).cast("long")).alias("__copies")
+    ).where("__copies > 0")
+    keyed = docs.withColumns({"__size": word_count(F.col(text_col)), "__id": F.col(id_col)})
+    return keyed.join(copies, ["__id", "__size"]).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    ).select(*docs.columns)
