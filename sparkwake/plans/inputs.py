@@ -46,7 +46,7 @@ def path(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("series").orderBy("t")
     before = F.lag("price").over(order)
     base = daily(spark, sf_dir).withColumn("ret", F.coalesce((F.col("price") - before) / (F.col("price") + before), F.lit(0.0)) / 8)
-    base = base.withColumn("prediction", -F.coalesce(F.lag("ret").over(order), F.lit(0.0)) / 2)
+    base = base.withColumn("prediction", 0 - F.coalesce(F.lag("ret").over(order), F.lit(0.0)) / 2)
     return base.select(
         "series", "t", "d", "price", "ret", "prediction", F.col("ret").alias("label"),
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("prediction") * 20)).alias("position"),
@@ -59,7 +59,7 @@ rets as (select *, coalesce((price - lag(price) over o) / (price + lag(price) ov
 path as (
   select series, t, d, price, ret, prediction, ret as label, greatest(-1, least(1, prediction * 20))::double as position,
          t > 20 as evaluated, sign(ret)::double as optimal, t // 97 as regime
-  from (select *, -coalesce(lag(ret) over (partition by series order by t), 0) / 2 as prediction from rets))"""
+  from (select *, 0 - coalesce(lag(ret) over (partition by series order by t), 0) / 2 as prediction from rets))"""
 
 #: The path with change, cost, gross, net and equity, at a cost rate of 0.001.
 RATE = 0.001
@@ -74,8 +74,8 @@ def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores in [-1, 1] per event type (gate) and user (challenger)."""
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("gate"), F.col("user_id").alias("challenger"), F.col("event_id").alias("t"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 40) / 50)).alias("score"),
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("value") - 40) / 53.7)).alias("score"),
     )
 
 
-BETS = "bets as (select event_type as gate, user_id as challenger, event_id as t, greatest(-1, least(1, (value - 40) / 50))::double as score from events)"
+BETS = "bets as (select event_type as gate, user_id as challenger, event_id as t, greatest(-1, least(1, (value - 40) / 53.7))::double as score from events)"

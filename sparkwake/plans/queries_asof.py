@@ -145,13 +145,13 @@ def leakage_check(spark, sf):
     return asof.leaks(*_labelled(spark, sf))
 
 
-@query("universe_equality_check", """with a as (select user_id, list_sort(list(distinct event_type)) as have from events where event_id % 3 = 0 group by 1),
+@query("universe_equality_check", """with a as (select user_id, list_sort(list(distinct event_type)) as have from events where value > 60 group by 1),
 b as (select user_id, list_sort(list(distinct event_type)) as want from events group by 1)
 select user_id, coalesce(have = want, false) as equal from b left join a using (user_id)""")
 def universe_equality(spark, sf):
     e = table(spark, sf, "events")
     names = lambda df, c: df.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias(c))
-    both = names(e, "want").join(names(e.where("event_id % 3 = 0"), "have"), "user_id", "left")
+    both = names(e, "want").join(names(e.where("value > 60"), "have"), "user_id", "left")
     return both.select("user_id", F.coalesce(F.col("have") == F.col("want"), F.lit(False)).alias("equal"))
 
 

@@ -288,12 +288,12 @@ def betting_fraction(spark, sf):
     return b.select("gate", "challenger", "t", F.round(evidence.betting_fraction("score", ["gate", "challenger"], "t"), 6).alias("eta"))
 
 
-@query("alpha_allocation", """select event_type, user_id, slot, round(0.05 * pow(2, -slot) * pow(2, -(user_id % 3 + 1)), 12) as alpha from (
- select event_type, user_id, row_number() over (partition by event_type order by user_id)::bigint as slot from (select distinct event_type, user_id from events)) where slot <= 12""")
+@query("alpha_allocation", """select event_type, user_id, slot, 0.05 * pow(2, -slot) * pow(2, -(user_id % 3 + 1)) as alpha from (
+ select event_type, user_id, row_number() over (partition by event_type order by user_id)::bigint as slot from (select distinct event_type, user_id from events))""")
 def alpha_allocation(spark, sf):
     d = table(spark, sf, "events").select("event_type", "user_id").distinct()
-    d = d.withColumn("slot", F.row_number().over(Window.partitionBy("event_type").orderBy("user_id")).cast("long")).where("slot <= 12")
-    return d.withColumn("alpha", F.round(evidence.slot_alpha(0.05, F.col("slot"), F.col("user_id") % 3), 12))
+    d = d.withColumn("slot", F.row_number().over(Window.partitionBy("event_type").orderBy("user_id")).cast("long"))
+    return d.withColumn("alpha", evidence.slot_alpha(0.05, F.col("slot"), F.col("user_id") % 3))
 
 
 @query("selection_budget", """select m as model, f as feature, e as epoch, 0.05 / 48 as cell_alpha, 48::bigint as cells from
