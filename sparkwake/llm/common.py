@@ -13,6 +13,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a maximal run of characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 _own_root: dict[str, str] = {}
 
@@ -39,23 +41,22 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives executor loss."""
+    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives executor loss.
+
+    The write's own shuffle files go as soon as it is done, instead of when the driver next collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/sparkwake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the scratch table behind a DataFrame that materialise() returned and nothing reads any more."""
-    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for spark, path in list(_written):
-        if any(p.endswith(path.rsplit("/", 1)[1]) for p in paths):
-            _delete(spark, path)
-            _written.remove((spark, path))
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -117,20 +117,29 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "names", "places", "keys", "sizes", "counts"])
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """names, key, size and place of each entry of a bucket."""
-    column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    counts = column("counts", np.uint32).astype(np.int64)
+def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def _texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, size and place of each entry of packed rows."""
+    counts = _column(table, "counts", np.uint32).astype(np.int64)
     ends = np.cumsum(counts)
-    running = np.cumsum(column("places", np.uint32).astype(np.int64))
+    running = np.cumsum(_column(table, "places", np.uint32).astype(np.int64))
     before = np.repeat(np.append(0, running[ends[:-1] - 1]) if len(ends) else ends, counts)
-    return column("names", np.uint64), np.repeat(column("keys", np.int64), counts), np.repeat(column("sizes", np.int64), counts), running - before
+    return np.repeat(_column(table, "keys", np.int64), counts), np.repeat(_column(table, "sizes", np.int64), counts), running - before
+
+
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """name, key, size and place of each entry of a bucket."""
+    return _column(table, "names", np.uint64), *_texts_of(table)
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Sort a bucket's names and compare neighbours: the places of those names that stand at two places or more, by text.
+def _repeated(table: pa.Table, slices: int) -> pa.Table:
+    """Sort a bucket's names and compare neighbours: the places of those names that stand at two places or more.
 
-    Copies of one text have one key, so their equal places are one.
+    Copies of one text have one key, so their equal places are one. The places go, text after text, to the slice of
+    the texts that a later group gathers.
     """
     names, key, size, place = _unpack(table)
     order = np.lexsort((place, size, key, names))
@@ -141,16 +150,42 @@ def _repeated(table: pa.Table) -> pa.Table:
     varied = np.zeros(group[-1] + 1 if len(group) else 0, bool)
     varied[group[1:][other]] = True
     hit = np.flatnonzero(varied[group])
-    hit = hit[np.lexsort((place[hit], size[hit], key[hit]))]
     key, size, place = key[hit], size[hit], place[hit]
-    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1]))) if len(key) else np.zeros(0, np.int64)
-    places = [np.diff(p, prepend=0).astype(np.uint32).tobytes() for p in np.split(place, new[1:])] if len(new) else []
-    return pa.table({"key": pa.array(key[new], pa.int64()), "n": pa.array(size[new], pa.int64()), "places": pa.array(places, pa.binary())})
+    part = key % slices
+    order = np.lexsort((place, size, key, part))
+    rows = [[], [], [], [], []]
+    for these in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+        first, counts, deltas = _runs(key[these], size[these], place[these])
+        row = (int(part[these[0]]), key[these][first].tobytes(), size[these][first].tobytes(), counts.astype(np.uint32).tobytes(), deltas.tobytes())
+        for column, value in zip(rows, row, strict=True):
+            column.append(value)
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["slice", "keys", "sizes", "counts", "places"])
+
+
+SLICE = "slice int, keys binary, sizes binary, counts binary, places binary"
+
+
+def _runs(key: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows: where each text begins, how many rows it has, and the places as deltas within it."""
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1])))
+    deltas = np.diff(place, prepend=0)
+    deltas[first] = place[first]
+    return first, np.diff(np.append(first, len(key))), deltas.astype(np.uint32)
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """All places of each text of a slice, sorted."""
+    key, size, place = _texts_of(table)
+    order = np.lexsort((place, size, key))
+    key, size, place = key[order], size[order], place[order]
+    first, counts, deltas = _runs(key, size, place) if len(key) else (np.zeros(0, np.int64),) * 3
+    places = [deltas[a : a + n].tobytes() for a, n in zip(first, counts, strict=True)]
+    return pa.table({"key": pa.array(key[first], pa.int64()), "n": pa.array(size[first], pa.int64()), "places": pa.array(places, pa.binary())})
 
 
-def _read_places(parts: list[bytes]) -> np.ndarray:
-    """Sorted distinct places from the lists that several buckets gave for one text."""
-    return np.unique(np.concatenate([np.cumsum(np.frombuffer(p, np.uint32).astype(np.int64)) for p in parts]))
+def _read_places(deltas: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(deltas, np.uint32).astype(np.int64))
 
 
 def cover(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -208,8 +243,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 packer = _Packer(buckets)
-                for key, n, data, parts in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "bytes", "parts")), strict=True):
-                    letters, hits = np.frombuffer(data, np.uint8), _read_places(parts)
+                for key, n, data, places in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "bytes", "places")), strict=True):
+                    letters, hits = np.frombuffer(data, np.uint8), _read_places(places)
                     reach = np.zeros(n + 2, np.int32)
                     np.add.at(reach, np.maximum(hits - v + 1, 0), 1)
                     np.add.at(reach, hits + 1, -1)
@@ -219,31 +254,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return run
 
-    def sort(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("bucket").applyInArrow(_repeated, "key long, n long, places binary")
+    def sort(rows: DataFrame, buckets: int) -> DataFrame:
+        """key, n and the sorted places of repeated names, one row per text that has any."""
+        found = rows.groupBy("bucket").applyInArrow(lambda t: _repeated(t, buckets), SLICE)
+        return found.groupBy("slice").applyInArrow(_gathered, "key long, n long, places binary")
 
     first = max(1, -(-int(total) * len(residues) // (v * BUCKET_NAMES)))
-    hits = materialise(
-        sort(keyed.where(F.col("n") >= length).select("key", "n", "bytes").mapInArrow(sample(first), BLOB))
-        .groupBy("key", "n").agg(F.collect_list("places").alias("parts"))
-    )
-    found = hits.agg(F.coalesce(F.sum(F.expr("aggregate(parts, 0L, (a, p) -> a + octet_length(p) div 4)")), F.lit(0))).first()[0]
+    hits = materialise(sort(keyed.where(F.col("n") >= length).select("key", "n", "bytes").mapInArrow(sample(first), BLOB), first))
+    found = hits.agg(F.coalesce(F.sum(F.expr("octet_length(places) div 4")), F.lit(0))).first()[0]
     second = max(1, -(-int(found) * (v // len(residues)) * 2 // BUCKET_NAMES))
-    asked = hits.join(texts, ["key", "n"]).select("key", "n", "parts", F.col("speaker").alias("doc_id"))
-    starts = materialise(
-        sort(keyed.join(asked, ["doc_id", "key", "n"]).select("key", "n", "bytes", "parts").mapInArrow(merge(second), BLOB))
-        .groupBy("key", "n").agg(F.collect_list("places").alias("parts"))
-    )
+    asked = hits.join(texts, ["key", "n"]).select("key", "n", "places", F.col("speaker").alias("doc_id"))
+    near = materialise(keyed.join(asked, ["doc_id", "key", "n"]).select("key", "n", "bytes", "places"))
+    starts = sort(near.mapInArrow(merge(second), BLOB), second)
 
     def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"start": a, "stop": b} for a, b in cover(_read_places(parts), length)] for parts in batch.column("parts").to_pylist()]
+            spans = [[{"start": a, "stop": b} for a, b in cover(_read_places(p), length)] for p in batch.column("places").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("n"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
                 ["key", "n", "spans"],
             )
 
-    spans = starts.mapInArrow(covers, "key long, n long, spans array<struct<start:bigint,stop:bigint>>")
+    spans = materialise(starts.mapInArrow(covers, "key long, n long, spans array<struct<start:bigint,stop:bigint>>"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
     by_text = texts.join(spans, ["key", "n"], "left").where("copies > 1 or spans is not null")
     by_text = by_text.select("key", "n", F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans"))
