@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise, small_batches
 
@@ -22,6 +23,8 @@ SIZES = ((4, 32), (64, 8), (256, 4), (1024, 1))
 SLACK = 0.16
 #: Members of a bucket that are compared with each other at a time.
 TILE = 512
+#: Rounds in which members outside a bucket's main component meet one more member of it, before tiles.
+STAR_ROUNDS = 1
 WORDS = 300_000
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -157,23 +160,24 @@ def _promising(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
                 pair is not None
                 and estimate(np.frombuffer(pair[0], np.uint16), np.frombuffer(pair[1], np.uint16), r["n_a"], r["n_b"]) >= percent / 100 - SLACK
             )
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(["a", "b", "comp_a", "comp_b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between components, of those pairs that hold on the full sets."""
     for batch in batches:
         sets = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
         keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(["comp_a", "comp_b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], handle: Callable[[list[dict]], list[dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, i, j); each such tile is bounded and handled at once."""
+    """Rows come sorted by (key, kind, i, j); each such tile is bounded and handled at once."""
     tile, at = [], None
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            place = (row["key"], row["i"], row["j"])
+            place = (row["key"], row["kind"], row["i"], row["j"])
             if place != at:
                 out += handle(tile) if len(tile) > 1 else []
                 tile, at = [], place
@@ -187,13 +191,15 @@ def _tile_pairs(tile: list[dict], percent: int) -> list[tuple[float, int, int]]:
     band = tile[0]["band"]
     pick = lambda r: r["regs"] if r["place"] == band // 1000 else r["regs_below"]
     regs = np.stack([np.frombuffer(pick(r), np.uint16) for r in tile])
-    n, comp, slot, rep = (np.array([r[c] for r in tile]) for c in ("n", "comp", "slot", "rep"))
-    i, j = tile[0]["i"], tile[0]["j"]
+    n, comp, slot, rep, main = (np.array([r[c] for r in tile]) for c in ("n", "comp", "slot", "rep", "main"))
+    kind, i, j = (tile[0][c] for c in ("kind", "i", "j"))
     found = []
     for x in range(len(tile) - 1):
         rest = np.arange(x + 1, len(tile))
         ok = (comp[rest] != comp[x]) & (rep[rest] != rep[x]) & (100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x]))
-        if i != j:
+        if kind == 1:
+            ok &= main[rest] != main[x]
+        elif i != j:
             ok &= slot[rest] != slot[x]
         rest = rest[ok]
         if len(rest):
@@ -206,7 +212,7 @@ def _tile_pairs(tile: list[dict], percent: int) -> list[tuple[float, int, int]]:
 
 def _touched(tile: list[dict], percent: int) -> list[dict]:
     touched = {k for _, x, y in _tile_pairs(tile, percent) for k in (x, y)}
-    return [{c: tile[k][c] for c in ("key", "i", "j", "rep")} for k in sorted(touched)]
+    return [{c: tile[k][c] for c in ("key", "kind", "i", "j", "rep")} for k in sorted(touched)]
 
 
 def _joined(tile: list[dict], percent: int) -> list[dict]:
@@ -240,10 +246,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
         both = step.unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        step = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # by now a node is joined to smaller ones only, and of those to the least of each star that it was in
+        low = large.distinct().withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
+        step = materialise(low.select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
     roots = step.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -254,20 +261,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Each text gets the size, a fingerprint and a HyperMinHash sketch of its set. Texts with equal sets
        form a class, and its smallest id speaks for it, so copies are never paired.
     2. Bands of registers are buckets. In each, every member is paired with one hub; pairs whose corrected
-       estimate comes near the threshold are verified on the full sets, and what links is one component.
-    3. Buckets that still hold several components are compared all against all in tiles of bounded size,
-       each pair in its first common band only: again estimate first, then full sets. A tile returns only as many
+       estimate comes near the threshold are verified on the full sets, and what links is one component. In further rounds
+       the members outside a bucket's main component meet other members of that.
+    3. In buckets that still hold several components, members of different ones are all compared, in tiles of bounded size
+       and each pair in its first common band only: again estimate first, then full sets. A tile returns only as many
        links as connect its components.
 
     A pair at the threshold itself shares no band with probability 6e-5, at 0.85 below 1e-6; all else is exact.
     Texts without words (null, empty, blank) have an empty set and link with nothing; texts with fewer words than a shingle are one
-    shingle. Rows that repeat are members of their class. Ids must be bigint; other columns are ignored.
+    shingle. Rows that repeat are members of their class. Ids must be bigint; rows without one come back with nulls. Other columns
+    are ignored.
 
     Returns doc_id, n_shingles, component_id — one row per input row.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = every.where("doc_id is not null")
     features = materialise(
         texts.mapInArrow(
             lambda b: _features(b, width),
@@ -283,45 +293,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = materialise(bands.join(hubs.select("key", F.col("hub.rep").alias("hub"), "size"), "key"))
-    sketch = lambda side: classes.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "place", "regs", "regs_below")])
-    stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    promising = materialise(
-        stars.join(sketch("a"), "a").join(sketch("b"), "b")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .mapInArrow(lambda b: _promising(b, percent), "a long, b long")
-    )
     needed = members.select("rep").distinct().join(classes.select("rep", "f1", "f2"), "rep")
     sets = materialise(
         texts.join(needed, texts["doc_id"] == needed["rep"]).select("text", "rep", "f1", "f2")
         .mapInArrow(lambda b: _sets(b, width), "rep long, set binary")
     )
-    side = lambda name: sets.select(F.col("rep").alias(name), F.col("set").alias(f"set_{name}"))
-    first = materialise(promising.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _verified(b, percent), "a long, b long").distinct())
-    roots = materialise(components(first))
-    placed = members.join(roots, members["rep"] == roots["node"], "left").select(
-        "key", "rep", "band", "size", F.coalesce("root", "rep").alias("comp")
-    )
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    slots = placed.join(split, "key").withColumn("slots", F.ceil(F.col("size") / TILE).cast("int"))
-    slots = slots.withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots")).cast("int")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other")
-    )
-    tiles = slots.select("key", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "rep", "band", "comp")
     sketches = classes.select("rep", "n", "place", "regs", "regs_below")
-    in_tiles = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sketch = lambda side: sketches.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "place", "regs", "regs_below")])
+        side = lambda name: sets.select(F.col("rep").alias(name), F.col("set").alias(f"set_{name}"))
+        promising = (
+            pairs.join(sketch("a"), "a").join(sketch("b"), "b")
+            .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+            .mapInArrow(lambda b: _promising(b, percent), "a long, b long, comp_a long, comp_b long")
+        )
+        return promising.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _verified(b, percent), "a long, b long")
+
+    def grown(comps: DataFrame, links: DataFrame) -> DataFrame:
+        """Components once some of them are linked; only the linked ones are searched."""
+        merged = components(links).withColumnRenamed("root", "to")
+        return materialise(comps.join(merged, comps["comp"] == merged["node"], "left").select("rep", F.coalesce("to", "comp").alias("comp")))
+
+    def split_buckets(comps: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and of each bucket of several: the main one, its size and a member of it."""
+        placed = members.join(comps, "rep").select("key", "rep", "band", "comp")
+        several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        placed = materialise(placed.join(several, "key"))
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep")).alias("hub"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("n", -F.col("comp"), "comp", "hub.rep")).alias("m"), F.sum("n").alias("total"))
+        return placed, main.select("key", F.col("m.comp").alias("main_comp"), F.col("m.n").alias("main_n"), F.col("m.rep").alias("hub"), "total")
+
+    comps = members.select("rep", F.col("rep").alias("comp")).distinct()
+    stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    comps = grown(comps, verified(stars.withColumns({"comp_a": F.col("a"), "comp_b": F.col("b")})))
+    for seed in range(1, STAR_ROUNDS + 1):
+        placed, main = split_buckets(comps, seed)
+        outside = placed.join(main, "key").where("comp <> main_comp").select(
+            F.col("rep").alias("a"), F.col("hub").alias("b"), F.col("comp").alias("comp_a"), F.col("main_comp").alias("comp_b")
+        )
+        comps = grown(comps, verified(outside.distinct()))
+    placed, main = split_buckets(comps, 0)
+    slots = lambda count: F.greatest(F.lit(1), F.ceil(F.expr(f"({count}) / {TILE}"))).cast("int")
+    dealt = placed.join(main, "key").select(
+        "key", "rep", "band", "comp", (F.col("comp") == F.col("main_comp")).alias("main"), "total",
+        slots("main_n").alias("mains"), slots("total - main_n").alias("others"),
+    ).withColumn("slot", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    place = "array<struct<kind:int,i:int,j:int>>"
+    dealt = dealt.withColumn("tiles", F.expr(
+        f"case when total <= {TILE} then cast(array(struct(0, 0, 0)) as {place})"
+        f" when main then cast(transform(sequence(0, others - 1), o -> struct(1, slot, o)) as {place})"
+        f" else concat(cast(transform(sequence(0, mains - 1), m -> struct(1, m, slot)) as {place}),"
+        f" cast(transform(sequence(0, others - 1), o -> struct(2, least(o, slot), greatest(o, slot))) as {place})) end"
+    ))
+    tiles = dealt.select("key", F.explode("tiles").alias("t"), "slot", "rep", "band", "comp", "main").select("key", "t.*", "slot", "rep", "band", "comp", "main")
+    tile_key = ["key", "kind", "i", "j"]
+    in_tiles = lambda df: df.repartition(*tile_key).sortWithinPartitions(*tile_key, "rep")
+    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("rep", pa.int64())])
     touched = materialise(
         in_tiles(tiles.join(sketches, "rep")).mapInArrow(
-            lambda b: _tiles(b, lambda t: _touched(t, percent), pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("rep", pa.int64())])),
-            "key long, i int, j int, rep long",
+            lambda b: _tiles(b, lambda t: _touched(t, percent), schema), "key long, kind int, i int, j int, rep long"
         )
     )
-    doubtful = touched.join(tiles, ["key", "i", "j", "rep"]).join(sketches, "rep").join(sets, "rep")
+    doubtful = touched.join(tiles, [*tile_key, "rep"]).join(sketches, "rep").join(sets, "rep")
     second = in_tiles(doubtful).mapInArrow(
         lambda b: _tiles(b, lambda t: _joined(t, percent), pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long"
     )
-    final = materialise(components(materialise(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))))
-    reps = classes.select("f1", "f2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "f1", "f2", F.coalesce("root", "rep").alias("component_id")
-    )
+    comps = grown(comps, second)
+    reps = classes.select("f1", "f2", "rep").join(comps, "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("component_id"))
     full = features.where("n > 0").join(reps, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(features.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    alone = features.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    nameless = every.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component_id")])
+    return full.unionByName(alone).unionByName(nameless)
