@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Distinct words whose counts a worker remembers.
-WORDS = 300_000
+WORDS = 600_000
 PAIRS = 1_000_000
+PUNCTUATION = b".,;:!?"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -156,7 +157,16 @@ class _Counts(dict):
         self.counter = counter
 
     def __missing__(self, word: bytes) -> int:
-        made = self[word] = self.counter.count(word)
+        if b"<" in word:
+            made = self.counter.count(word)
+        elif word[-1] in PUNCTUATION and word[:-1].isalpha():
+            # one more pre-token: what stands before it is counted once for all that may follow
+            made = self[word[:-1]] + self[word[-1:]]
+        elif (low := word.lower()) != word:
+            made = self[low]
+        else:
+            made = self.counter.count(word)
+        self[word] = made
         return made
 
 
