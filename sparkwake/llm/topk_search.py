@@ -49,10 +49,11 @@ class Shard:
         first = np.flatnonzero(~own)[:FIRST]
         scores = query[used] @ self.terms[used[:, None], first[None, :]]
         threshold = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else None
-        if threshold is None:
+        if threshold is None or not (rest < threshold).any():
+            # a row without any of the terms scores 0, which may still be enough
             essential, rows = len(order), np.flatnonzero(~own)
         else:
-            essential = int(np.argmax(rest < threshold)) if (rest < threshold).any() else len(order)
+            essential = int(np.argmax(rest < threshold))
             lists = [self.postings[t] for t in order[:essential]]
             # a row outside all essential postings scores at most the rest, which is below the threshold
             rows = np.arange(len(self.ids)) if any(p is None for p in lists) else np.unique(np.concatenate([*lists, np.zeros(0, np.int64)])).astype(np.int64)
