@@ -109,7 +109,7 @@ def mix(
         (md5_int(F.lit(seed), "doc_id") % F.col("shards")).alias("shard"),
         F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "doc_id")).alias("turn"),
     )
-    line = Window.partitionBy("skey", "shard").orderBy("turn", "doc_id", "size")
+    line = Window.partitionBy("skey", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("start", F.sum("size").over(line) - F.col("size")).drop("turn")
     shards = laid.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"))
     quotas = sainte_lague(shards.join(seats, "skey"), ["skey"], "shard", F.col("shard_size"), F.col("seats"))
