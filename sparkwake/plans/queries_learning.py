@@ -75,7 +75,7 @@ def walk_forward_backtest(spark, sf):
     return made.select("series", "t", F.round("prediction", 9).alias("prediction"))
 
 
-_TS = "s1 as (select user_id, event_id, (value - lag(value) over (partition by user_id order by event_id)) / 100 as a, 0.1 as b from events)"
+_TS = "s1 as (select user_id, event_id, (value - lag(value) over (partition by user_id order by event_id)) / 100 as a, 0.1::double as b from events)"
 
 
 @query("signature_depth2", f"""with {_TS}, r as (select user_id, a, b, coalesce(sum(a) over w, 0) as pa, coalesce(sum(b) over w, 0) as pb from s1 where a is not null
