@@ -165,28 +165,33 @@ class Gate:
 
 
 def catoni_psi(x: np.ndarray) -> np.ndarray:
-    """Odd influence function that grows like a logarithm; large arguments in a form that can't overflow."""
-    m = np.abs(x)
-    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        near = np.log1p(m + m * m / 2)
-        far = 2 * np.log(np.maximum(m, 1e-300)) + np.log(0.5 + 1 / m + 1 / (m * m))
-    below = np.log1p(-np.minimum(m, 1) + np.minimum(m, 1) ** 2 / 2)
-    above = 2 * np.log(np.maximum(m, 1)) + np.log(0.5 - 1 / np.maximum(m, 1) + 1 / np.maximum(m, 1) ** 2)
-    return np.sign(x) * np.where(m <= 1, near - below, far - above)
+    """Odd influence function log((1 + x + x^2 / 2) / (1 - x + x^2 / 2)): about 2x near zero, and back to zero far out."""
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        inner = np.log1p(x + x * x / 2) - np.log1p(-x + x * x / 2)
+        w = 1 / np.where(x == 0, 1, x)
+        outer = np.log1p(2 * w + 2 * w * w) - np.log1p(-2 * w + 2 * w * w)
+    return np.where(np.abs(x) <= 1, inner, outer)
 
 
 def catoni_means(columns: list, scale: float, rounds: int = 80) -> np.ndarray:
-    """Per column the root of the summed influence, by bisection between the extremes; all columns at once."""
+    """Per column the root of the summed influence, by bisection between the extremes; all columns at once.
+
+    The influence falls back to zero far out, so the sum may have several roots, and bisection says which is meant.
+    """
     if not columns or not all(map(len, columns)):
         raise ValueError("values must not be empty")
     size = max(map(len, columns))
     v = np.array([np.pad(np.asarray(c, float), (0, size - len(c)), constant_values=np.nan) for c in columns])
     low, high = np.nanmin(v, axis=1), np.nanmax(v, axis=1)
+    held = ~np.isnan(v)
+    v = np.where(held, v, 0.0) / scale
     for _ in range(rounds):
         middle = low + (high - low) / 2
         if np.all((middle <= low) | (middle >= high)):
             break
-        up = np.nansum(catoni_psi((v - middle[:, None]) / scale), axis=1) > 0
+        z = v - middle[:, None] / scale
+        half = 1 + z * z / 2
+        up = (np.log((half + z) / (half - z)) * held).sum(axis=1) > 0
         low, high = np.where(up, middle, low), np.where(up, high, middle)
     return low + (high - low) / 2
 
