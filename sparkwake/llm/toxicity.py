@@ -22,7 +22,7 @@ DIM = 8
 NGRAMS = (3, 6)
 WINDOW, STEP = 4, 2
 THRESHOLD = 0.7
-EPOCHS, ROUNDS = (2, 2), 8
+EPOCHS, ROUNDS, BATCH = (2, 2), 8, 32
 #: Distinct words whose sums a worker remembers.
 WORDS = 600_000
 
@@ -82,8 +82,8 @@ def _descend(bags: _Bags, y: np.ndarray, emb: np.ndarray, out: np.ndarray, bias:
     """Adagrad on the softmax loss, embeddings and output layer together."""
     for _ in range(epochs):
         order = rng.permutation(len(y))
-        for at in range(0, len(order), 64):
-            picked = order[at : at + 64]
+        for at in range(0, len(order), BATCH):
+            picked = order[at : at + BATCH]
             flat, sizes = bags.take(picked)
             ends = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             mean = np.add.reduceat(emb[flat], ends, axis=0) / sizes[:, None]
@@ -124,6 +124,16 @@ def _window_logits(sums: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarr
     return starts, bag.real / np.maximum(bag.imag, 1) + model.bias
 
 
+def _laid_out(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Subwords of all words, word after word, and how many each has."""
+    flat, sizes = [], []
+    for i in range(0, len(words), at_once):
+        owner, bucket = subwords(words[i : i + at_once])
+        flat.append(bucket[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=len(words[i : i + at_once])))
+    return np.concatenate(flat or [np.zeros(0, np.int32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     """Fit on whole texts, then on the windows that decide: a toxic text is so by its worst passage.
 
@@ -134,14 +144,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     y = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS), 9.0 if toxic and toxic[0] else -9.0)
-    docs = [words_of(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for doc in docs for w in doc))}
-    docs = [np.fromiter(map(vocabulary.__getitem__, doc), np.int32, len(doc)) for doc in docs]
+    vocabulary: dict[str, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
     held = [i for i, doc in enumerate(docs) if len(doc)]
     docs, y = [docs[i] for i in held], y[held]
-    owner, bucket = subwords(list(vocabulary))
-    order = np.argsort(owner, kind="stable")
-    flat, sizes = bucket[order], np.bincount(owner, minlength=len(vocabulary))
+    flat, sizes = _laid_out(list(vocabulary))
+    del vocabulary
     starts = np.cumsum(sizes) - sizes
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.uniform(-1, 1, (DIM, 2)), np.zeros(2)
