@@ -17,6 +17,47 @@ r as (select query_id, (row_number() over (partition by query_id order by score
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
+def url_sql() -> str:
+    """Rules by length; then all token sets that are frequent and confident, found by listing the subsets of each labelled URL."""
+    from .queries import URL_RULES
+    from .url_filter import DEFAULT, MIN_CONFIDENCE, MIN_SUPPORT
+
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    return f"""
+with parsed as (
+  select page_id, url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{_UP}', '{_LOW}') as host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+rules(v, h, p) as (values {rules}),
+fits as (
+  select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as label
+  from parsed join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id),
+tokened as (
+  select page_id, host, path, rule, label, case when host = '' then [] else list_sort(list_distinct(list_concat(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g')),
+    list_transform(list_filter(string_split(coalesce(regexp_extract(url, '\\?([^#]*)', 1), ''), '&'), lambda x: x <> ''), lambda x: 'q:' || string_split(x, '=')[1]),
+    [case when starts_with(url, 'https://') then 's:https' else 's:other' end]))) end as tokens
+  from parsed left join fits using (page_id)),
+labelled as (select page_id, tokens, label from tokened where label is not null),
+subsets as (
+  select label, list_filter(tokens, lambda x, i: (mask >> (i - 1)::int) & 1 = 1) as rule
+  from labelled, lateral (select unnest(generate_series(1, (1 << len(tokens)) - 1)) as mask)),
+counted as (select rule, label, count(*) as n, sum(count(*)) over (partition by rule) as m from subsets group by rule, label),
+mined as (
+  select rule, label, n / m as confidence, n / (select count(*) from labelled) as support from counted
+  where n >= ceil({MIN_SUPPORT} * (select count(*) from labelled)) and n / m >= {MIN_CONFIDENCE}),
+parts as (select rule, label, confidence, unnest(list_transform(rule, lambda t: list_filter(rule, lambda u: u <> t))) as part from mined),
+weaker as (select distinct p.rule, p.label from parts p join mined g on g.rule = p.part and g.label = p.label and g.confidence >= p.confidence),
+kept as (select * from mined anti join weaker using (rule, label)),
+best as (
+  select page_id, max_by(struct_pack(l := k.label, c := confidence), struct_pack(a := confidence, b := support, c := k.label, d := k.rule)) as b
+  from tokened t join kept k on list_has_all(t.tokens, k.rule) where t.label is null group by page_id)
+select page_id, host, path, rule, coalesce(label, b.l, '{DEFAULT}') as verdict,
+       case when rule is not null then 'rule' when b is not null then 'mined' else 'default' end as "by", case when rule is null then b.c end as confidence
+from tokened left join best using (page_id)
+"""
+
+
 OP4 = f"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
@@ -108,4 +149,4 @@ select doc_id, size, source_size, target, taken from (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1, "op4_near_dedup": OP4, "op9_exact_dedup": OP9, "op10_mix_sources": mix_sql()}
+    return {"op1_topk_search": OP1, "op2_url_filter": url_sql(), "op4_near_dedup": OP4, "op9_exact_dedup": OP9, "op10_mix_sources": mix_sql()}
