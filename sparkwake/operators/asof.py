@@ -134,3 +134,34 @@ def label_rules() -> dict[str, Column]:
         "unknown status": F.col("status").isin("observed", "missing", "censored", "invalid"),
         "value and status disagree": (F.col("status") == "observed") == F.col("value").isNotNull(),
     }
+
+
+def as_of(observations: DataFrame, labels: DataFrame, memberships: DataFrame, decision, strict: bool = True) -> dict[str, DataFrame]:
+    """The whole book at one decision time: observations by record, labels by target, active memberships."""
+    return {
+        "observations": snapshot(observations, decision, ["record_id"], strict=strict),
+        "labels": labels_at(labels, decision, strict=strict),
+        "memberships": members_at(memberships, decision, strict=strict),
+    }
+
+
+def lookup(snap: DataFrame, key: str, value: str):
+    """The one row of a snapshot with a key; an error if it isn't there."""
+    rows = snap.where(F.col(key) == value).head(2)
+    if len(rows) != 1:
+        raise LookupError(f"{value} is not available")
+    return rows[0]
+
+
+def availability_position(labels: DataFrame, index: DataFrame, keys: list[str], delay: int = 0) -> DataFrame:
+    """The first index position at or after each label's availability, and at least its own position plus ``delay``; null past the end.
+
+    labels: keys, position, available_at; index: keys, position, at. Both are sorted together, so no label meets every position.
+    """
+    both = labels.select(*keys, F.col("available_at").alias("at"), F.struct("position", "available_at").alias("label"), F.lit(None).cast("long").alias("place")).unionByName(
+        index.select(*keys, "at", F.lit(None).cast("struct<position:bigint,available_at:bigint>").alias("label"), F.col("position").alias("place"))
+    )
+    ahead = Window.partitionBy(*keys).orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("first", F.min("place").over(ahead)).where("label is not null")
+    known = F.greatest(F.col("first"), F.col("label.position") + delay)
+    return found.select(*keys, "label.position", "label.available_at", F.when(F.col("first").isNotNull(), known).alias("known_at"))

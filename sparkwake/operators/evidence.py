@@ -73,3 +73,22 @@ def ready_prefix(pending: DataFrame, keys: list[str], time: str, ready: str) ->
     """Settlement in prediction order: rows up to the first that is not ready."""
     run = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     return pending.withColumn("__open", F.sum((~F.col(ready)).cast("int")).over(run)).where(F.col("__open") == 0).drop("__open")
+
+
+def evidence_ledger(predictions: DataFrame, labels: DataFrame, keys: list[str], time: str, now, expiry: int, burn_in: int) -> DataFrame:
+    """Which predictions are settled at ``now``, in the order they were made, and which of those are evidence.
+
+    predictions: keys, target_id, time; labels: target_id, available_time, status. A prediction without a visible label is open until ``expiry``
+    after it was made, then expired; the first open one stops the settlement of all after it. Observed labels are evidence once
+    ``burn_in`` of them have been settled before. Returns keys, target_id, time, state, position and is_evidence.
+    """
+    seen = labels.where(F.col("available_time") <= now).select("target_id", "status")
+    state = F.when(F.col("status").isNotNull(), F.col("status")).when(F.col(time) + expiry <= now, "expired").otherwise("open")
+    marked = predictions.where(F.col(time) <= now).join(seen, "target_id", "left").withColumn("state", state)
+    settled = ready_prefix(marked.withColumn("ready", F.col("state") != "open"), keys, time, "ready")
+    order = Window.partitionBy(*keys).orderBy(time)
+    observed = (F.col("state") == "observed").cast("long")
+    before = F.coalesce(F.sum(observed).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return settled.select(
+        *keys, "target_id", time, "state", F.row_number().over(order).cast("long").alias("position"), ((F.col("state") == "observed") & (before >= burn_in)).alias("is_evidence")
+    )

@@ -40,3 +40,18 @@ def inverse_vol_weights(ranked: DataFrame, date: str, vol: str, k: int, target:
     share = F.col("inv") / F.sum("inv").over(whole)
     weighed = held.withColumn("share", share).withColumn("risk", F.sqrt(F.sum(F.pow(F.col("share") * F.col(vol), 2)).over(whole)))
     return weighed.withColumn("weight", F.col("share") * F.least(F.lit(1.0), target / F.greatest("risk", F.lit(1e-9)))).drop("inv", "share", "risk")
+
+
+def hold_between(weights: DataFrame, keys: list[str], time: str, every: int, weight: str = "weight") -> DataFrame:
+    """Weights move on every ``every``-th row only and are held in between; before the first they are 0."""
+    order = Window.partitionBy(*keys).orderBy(time)
+    fresh = F.when((F.row_number().over(order) - 1) % every == 0, F.coalesce(F.col(weight), F.lit(0.0)))
+    made = weights.withColumn("__fresh", fresh)
+    held = F.last("__fresh", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return made.withColumn(weight, held).drop("__fresh")
+
+
+def grid_best(scores: DataFrame, params: list[str], score: str, tie: list, keys: list[str] | None = None) -> DataFrame:
+    """The parameters with the highest score, per key if any; ties by the given columns."""
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc(score), *tie)
+    return scores.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*(keys or []), *params, score)

@@ -89,3 +89,23 @@ def decaying_cusum(df: DataFrame, series: str, time: str, x: str, drift: float,
     seeded = F.aggregate("rows", F.array(F.lit(0.0)), step)
     out = folded.withColumn("g", F.slice(seeded, 2, F.size("rows"))).select(series, F.explode(F.arrays_zip("rows", "g")).alias("z"))
     return out.select(series, F.col("z.rows")[time].alias(time), F.col("z.rows")[x].alias(x), F.col("z.g").alias("g"), (F.col("z.g") >= threshold).alias("alarm"))
+
+
+def price_features(prices: DataFrame, series: str, time: str, price: str, scale: float = 1.0) -> DataFrame:
+    """One- and five-row returns, volatility of the last 20 one-row returns, and the next return over ``scale`` as the label; rows where any is unknown go."""
+    order = along(series, time)
+    made = prices.withColumn("ret_1", F.col(price) / F.lag(price).over(order) - 1)
+    frame = order.rowsBetween(-19, 0)
+    made = made.withColumns({
+        "ret_5": F.col(price) / F.lag(price, 5).over(order) - 1,
+        "vol_20": F.when(F.count("ret_1").over(frame) == 20, F.stddev_samp("ret_1").over(frame)),
+        "label": (F.lead(price).over(order) / F.col(price) - 1) / scale,
+    })
+    return made.where("ret_5 is not null and vol_20 is not null and label is not null")
+
+
+def split_zscore(df: DataFrame, series: str, time: str, value: str, rows: int, floor: float = 1e-12) -> DataFrame:
+    """z of all rows by the mean and deviation of each series' first ``rows`` rows alone, so nothing later reaches the fit."""
+    first = df.withColumn("__n", F.row_number().over(along(series, time))).where(F.col("__n") <= rows)
+    fitted = first.groupBy(series).agg(F.avg(value).alias("__m"), F.greatest(F.stddev_samp(value), F.lit(floor)).alias("__s"))
+    return df.join(fitted, series).withColumn("z", (F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")

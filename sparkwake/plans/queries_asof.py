@@ -180,3 +180,16 @@ def phase_split(spark, sf):
     i = F.col("event_id")
     phase = F.when(i < 4000, "train").when(i < 4200, "embargo").when(i < 8000, "test").otherwise("holdout")
     return table(spark, sf, "events").groupBy(phase.alias("phase")).agg(F.count("*").alias("n"), F.min(i).alias("first_id"), F.max(i).alias("last_id"))
+
+
+@query("availability_position", f"""with {BOOK}, i as (select record_id, epoch_us(event_time) as at, (row_number() over (partition by record_id order by event_time, ingest_sequence) - 1)::bigint as position from book),
+l as (select record_id, (row_number() over (partition by record_id order by event_time, ingest_sequence) - 1)::bigint as position, epoch_us(available_time) as available_at from book),
+f as (select l.record_id, l.position, l.available_at, min(i.position) as first from l left join i on i.record_id = l.record_id and i.at >= l.available_at group by all)
+select record_id, position, available_at, case when first is not null then greatest(first, position + 1) end as known_at from f""")
+def availability_position(spark, sf):
+    order = Window.partitionBy("record_id").orderBy("event_time", "ingest_sequence")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    b = book(spark, sf).withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    index = b.select("record_id", "position", micros("event_time").alias("at"))
+    labels = b.select("record_id", "position", micros("available_time").alias("available_at"))
+    return asof.availability_position(labels, index, ["record_id"], 1)

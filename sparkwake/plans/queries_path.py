@@ -308,3 +308,69 @@ select user_id, event_id from o where open = 0""")
 def ready_prefix(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_type") != "error").alias("ready"))
     return evidence.ready_prefix(e, ["user_id"], "event_id", "ready").drop("ready")
+
+
+@query("price_features", f"""with {DAILY}, r as (select *, price / lag(price) over (partition by series order by t) - 1 as r1 from daily),
+f as (select series, t, r1, price / lag(price, 5) over o - 1 as r5, case when count(r1) over w = 20 then stddev_samp(r1) over w end as v, lead(price) over o / price - 1 as y from r
+ window o as (partition by series order by t), w as (partition by series order by t rows between 19 preceding and current row))
+select series, t, round(r1, 6) as ret_1, round(r5, 6) as ret_5, round(v, 6) as vol_20, round(y, 6) as label from f where r5 is not null and v is not null and y is not null""")
+def price_features(spark, sf):
+    made = windows.price_features(daily(spark, sf), "series", "t", "price")
+    return rounded(made.select("series", "t", "ret_1", "ret_5", "vol_20", "label"), "ret_1", "ret_5", "vol_20", "label")
+
+
+@query("calibration_zscore", """with n as (select event_type, event_id, value, row_number() over (partition by event_type order by event_id) as k from events),
+f as (select event_type, avg(value) as m, greatest(stddev_samp(value), 1e-12) as s from n where k <= 100 group by 1)
+select event_type, event_id, round((value - m) / s, 6) as z from n join f using (event_type)""")
+def calibration_zscore(spark, sf):
+    return windows.split_zscore(table(spark, sf, "events"), "event_type", "event_id", "value", 100).select("event_type", "event_id", F.round("z", 6).alias("z"))
+
+
+@query("held_positions", f"""with {PATH}, f as (select series, t, case when (t - 1) % 5 = 0 then position end as fresh from path)
+select series, t, round(last_value(fresh ignore nulls) over (partition by series order by t rows unbounded preceding), 6) as position from f""")
+def held_positions(spark, sf):
+    from ..operators.strategies import hold_between
+
+    return hold_between(path(spark, sf).select("series", "t", "position"), ["series"], "t", 5, "position").select("series", "t", F.round("position", 6).alias("position"))
+
+
+@query("inverse_vol_weights", f"""with {PATH}, v as (select series, d, case when count(ret) over w = 20 then stddev_samp(ret) over w end as vol, lag(price, 1) over o / lag(price, 11) over o - 1 as mom from path
+ window o as (partition by series order by t), w as (partition by series order by t rows between 20 preceding and 1 preceding)),
+k as (select *, row_number() over (partition by d order by mom desc, series) as place from v where vol is not null and mom > 0),
+s as (select d, series, vol, (1 / greatest(vol, 1e-9)) / sum(1 / greatest(vol, 1e-9)) over (partition by d) as share from k where place <= 2),
+r as (select *, sqrt(sum((share * vol) ** 2) over (partition by d)) as risk from s)
+select d, series, round(share * least(1, 0.02 / greatest(risk, 1e-9)), 6) as weight from r""")
+def inverse_vol_weights(spark, sf):
+    from ..operators.strategies import inverse_vol_weights as weigh
+
+    order = windows.along("series", "t")
+    made = path(spark, sf).withColumns({"vol": windows.prior_volatility(F.col("ret"), order, 20), "mom": windows.momentum(F.col("price"), order, 11, 1)})
+    ranked = made.where("vol is not null and mom > 0").withColumn("place", F.row_number().over(Window.partitionBy("d").orderBy(F.desc("mom"), "series")))
+    return weigh(ranked, "d", "vol", 2, 0.02).select("d", "series", F.round("weight", 6).alias("weight"))
+
+
+@query("parameter_grid_argmax", f"""with {PATH}, g(lookback) as (values (10), (20), (40)),
+x as (select p.series, p.t, g.lookback, p.ret, (select case when count(*) = g.lookback then avg(q.price) end from path q where q.series = p.series and q.t between p.t - g.lookback - 1 and p.t - 2) as mean,
+  lag(p.price) over (partition by p.series, g.lookback order by p.t) as prev from path p, g),
+y as (select series, lookback, sum(case when prev > mean then ret else 0 end) as pnl from x group by all),
+k as (select *, row_number() over (partition by series order by pnl desc, lookback) as k from y)
+select series, lookback::int as lookback, round(pnl, 6) as pnl from k where k = 1""")
+def parameter_grid_argmax(spark, sf):
+    from ..operators.strategies import grid_best, trend_pnl
+
+    sums = trend_pnl(path(spark, sf), _WALK).groupBy("series", "lookback").agg(F.sum("pnl").alias("pnl"))
+    return rounded(grid_best(sums, ["lookback"], "pnl", ["lookback"], ["series"]), "pnl")
+
+
+@query("evidence_ledger", f"""with {PATH}, p as (select series, t, series || '-' || t as target_id, case when t % 11 = 0 then 'missing' else 'observed' end as status, t + 2 + (t % 7) * 3 as available from path),
+s as (select series, t, target_id, case when t % 13 <> 0 and available <= 1200 then status when t + 10 <= 1200 then 'expired' else 'open' end as state from p where t <= 1200),
+o as (select *, sum((state = 'open')::int) over (partition by series order by t) as open from s),
+k as (select *, coalesce(sum((state = 'observed')::int) over (partition by series order by t rows between unbounded preceding and 1 preceding), 0) as before, row_number() over (partition by series order by t)::bigint as position from o where open = 0)
+select series, target_id, t, state, position, state = 'observed' and before >= 30 as is_evidence from k""")
+def evidence_ledger(spark, sf):
+    p = path(spark, sf).withColumn("target_id", F.concat_ws("-", "series", "t"))
+    status = F.when(F.col("t") % 11 == 0, "missing").otherwise("observed")
+    # every thirteenth label never arrives
+    arrives = F.when(F.col("t") % 13 != 0, F.col("t") + 2 + (F.col("t") % 7) * 3)
+    labels = p.select("target_id", arrives.alias("available_time"), status.alias("status"))
+    return evidence.evidence_ledger(p.select("series", "t", "target_id"), labels, ["series"], "t", F.lit(1200), 10, 30)

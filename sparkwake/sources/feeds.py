@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,3 +152,16 @@ def common_panel(prices: DataFrame, tickers: list[str]) -> DataFrame:
     """One column per ticker on the dates that all of them have."""
     wide = prices.groupBy("d").pivot("ticker", tickers).agg(F.first("adj_close"))
     return wide.where(" and ".join(f"`{t}` is not null" for t in tickers)).orderBy("d")
+
+
+_EXAMPLE = {"string": "text", "bigint": 0, "double": 0.0, "map<string,double>": {"field": 0.0}}
+
+
+def write_template(folder: str) -> list[str]:
+    """One example line per role, with every key that a feed must have; returns the files."""
+    made = []
+    for role in ROLES:
+        path = Path(folder) / f"{role}.jsonl"
+        path.write_text(canonical({f.name: _EXAMPLE[f.dataType.simpleString()] for f in schema_of(role)}) + "\n")
+        made.append(str(path))
+    return made
