@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word is a maximal run of characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_SPACE, _SPACE_BYTES = re.compile(r"[\x20\x09-\x0D]"), re.compile(rb"[\x20\x09-\x0D]")
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[tuple[SparkSession, str]] = []
@@ -29,6 +32,17 @@ def small_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def pieces(text: str | bytes, size: int = 1 << 20) -> Iterator[str | bytes]:
+    """A text in parts that end before white space, so that the words of a giant text need not be held at once."""
+    space = _SPACE_BYTES if isinstance(text, bytes) else _SPACE
+    at = 0
+    while at < len(text):
+        found = space.search(text, at + size) if at + size < len(text) else None
+        stop = found.start() if found else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

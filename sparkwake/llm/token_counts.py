@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import pieces, small_batches
 
 #: Distinct words whose counts a worker remembers.
 WORDS = 600_000
@@ -178,8 +178,8 @@ def _counts(path: str) -> _Counts:
 
 def word_prefixes(text: bytes, counts: dict[bytes, int]) -> np.ndarray:
     """Tokens of the text up to the end of each of its words (runs without ASCII white space)."""
-    words = text.split()
-    return np.cumsum(np.fromiter(map(counts.__getitem__, words), np.int64, len(words)))
+    each = [np.fromiter(map(counts.__getitem__, words), np.int64, len(words)) for words in map(bytes.split, pieces(text))]
+    return np.cumsum(np.concatenate(each)) if each else np.zeros(0, np.int64)
 
 
 def within_budget(prefixes: list[int], budget: int) -> int:

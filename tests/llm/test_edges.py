@@ -164,3 +164,12 @@ def test_urls(spark):
     assert all((got[i]["host"], got[i]["path"]) == ("", "") for i in (4, 5, 6, 7))
     assert {r["verdict"] for r in got.values()} <= {"allow", "block"}
     assert url_filter.judge(df.where("false"), rules).count() == 0
+
+
+def test_pieces_of_giant_texts_keep_all_words():
+    from sparkwake.llm.common import pieces
+
+    for text in ("", " ", "a", "ab cd  ef\n" * 50, "x" * 100, " lead and trail "):
+        assert "".join(pieces(text, 7)) == text
+        assert [w for p in pieces(text, 7) for w in p.split()] == text.split()
+        assert [w for p in pieces(text.encode(), 7) for w in p.split()] == text.encode().split()
