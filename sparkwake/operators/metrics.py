@@ -129,13 +129,14 @@ def _first_after(changes: DataFrame, hits: DataFrame, series: str, time: str, na
 
 
 def recovery_delays(made: DataFrame, changes: DataFrame, series: str, time: str) -> DataFrame:
-    """Rows from each change until equity is back at the peak before it; null if never."""
-    order = Window.partitionBy(series).orderBy(time)
-    peaks = made.withColumn("target", F.max("equity").over(order.rowsBetween(Window.unboundedPreceding, -1))).select(series, F.col(time).alias("cp"), "target")
-    wanted = changes.join(peaks, [series, "cp"])
-    near = made.select(series, F.col(time).alias("t2"), F.col("equity").alias("e2"))
-    found = wanted.join(near, series).where("t2 >= cp and e2 >= target").groupBy(series, "cp").agg(F.min("t2").alias("t2"))
-    return wanted.join(found, [series, "cp"], "left").select(series, "cp", (F.col("t2") - F.col("cp")).alias("recovery_delay"))
+    """Rows from each change until equity is back at the peak before it; null if never.
+
+    Until it is back, that peak is the running maximum of all rows before, so a recovery is the first row from the change on that
+    reaches the maximum before itself: a flag and a look ahead, no join of changes with rows.
+    """
+    before = Window.partitionBy(series).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    back = made.withColumn("__peak", F.max("equity").over(before)).where("equity >= __peak").select(series, time)
+    return _first_after(changes, back, series, time, "recovery_delay")
 
 
 def against_baseline(candidate: DataFrame, baseline: DataFrame, series: str, time: str, least: float = 0.0) -> DataFrame:
