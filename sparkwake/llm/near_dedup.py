@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, small_batches
+from .common import materialise, pieces, small_batches
 
 #: Registers of a sketch; a band is BAND of them in a row.
 REGISTERS, BAND = 192, 6
@@ -25,6 +25,8 @@ SLACK = 0.16
 TILE = 512
 #: Rounds in which members outside a bucket's main component meet one more member of it, before tiles.
 STAR_ROUNDS = 1
+#: Parts in which the copies of a set look up their component.
+SALTS = 32
 WORDS = 300_000
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -48,12 +50,12 @@ _hashes = _Hashes()
 
 def shingle_set(text: bytes, width: int = 2) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``width`` words; a shorter text is one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
     if len(_hashes) > WORDS:
         _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    each = [np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) for words in map(bytes.split, pieces(text.lower()))]
+    h = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
     width = min(width, len(h))
     mixed = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
@@ -285,8 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     classes = materialise(
-        features.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "place", "regs", "regs_below", "keys")).alias("m"))
-        .select("f1", "f2", F.col("m.doc_id").alias("rep"), "m.n", "m.place", "m.regs", "m.regs_below", "m.keys")
+        features.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "place", "regs", "regs_below", "keys")).alias("m"), F.count("*").alias("copies"))
+        .select("f1", "f2", F.col("m.doc_id").alias("rep"), "m.n", "m.place", "m.regs", "m.regs_below", "m.keys", "copies")
     )
     bands = classes.select("rep", F.posexplode("keys").alias("at", "key"), "place").select(
         "key", "rep", F.expr(f"(if(at < {REGISTERS // BAND}, place, place - 1)) * 1000 + at % {REGISTERS // BAND}").cast("int").alias("band")
@@ -360,8 +362,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lambda b: _tiles(b, lambda t: _joined(t, percent), pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long"
     )
     comps = grown(comps, second)
-    reps = classes.select("f1", "f2", "rep").join(comps, "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("component_id"))
-    full = features.where("n > 0").join(reps, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # copies may be many: they find their class in salted parts; a set that stands alone is found by its row's id
+    reps = classes.select("f1", "f2", "rep", "copies").join(comps, "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
+    copied = reps.where("copies > 1").select("f1", "f2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.col("component_id").alias("of_copies"))
+    single = reps.where("copies = 1").select(F.col("rep").alias("doc_id"), "f1", "f2", "component_id")
+    sized = features.where("n > 0").select("doc_id", "n", "f1", "f2", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SALTS)).alias("salt"))
+    full = sized.join(copied, ["f1", "f2", "salt"], "left").join(single, ["doc_id", "f1", "f2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("of_copies", "component_id").alias("component_id")
+    )
     alone = features.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     nameless = every.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component_id")])
     return full.unionByName(alone).unionByName(nameless)
