@@ -128,7 +128,8 @@ def mix(
         "*", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("b")
     ).withColumn("words", F.expr(f"least(start + size, (b + 1) * {block}) - greatest(start, b * {block})"))
     taken = (
-        pieces.join(chosen, ["skey", "shard", "b"], "left")
+        # hinted, as the planner takes the blocks for as few as the shards they are exploded from, and would broadcast them
+        pieces.join(chosen.hint("merge"), ["skey", "shard", "b"], "left")
         .groupBy("skey", "shard", "start", "doc_id", "size")
         .agg(F.sum(F.col("words") * F.coalesce("copies", F.lit(0))).alias("taken"))
         .select("skey", "doc_id", "size", "taken")
