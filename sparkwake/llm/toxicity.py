@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches
+from .common import pieces, small_batches
 
 #: Bounds of the training sample: clean and toxic rows, and bytes of text of each.
 SAMPLE_ROWS = (2500, 1000)
@@ -173,8 +173,8 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list:
-    """A bounded training sample in seeded order: SAMPLE_ROWS and SAMPLE_BYTES of each label."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """A bounded training sample in seeded order: SAMPLE_ROWS and SAMPLE_BYTES of each label. Columns text, y, turn and the id."""
     marked = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     order = Window.partitionBy("y").orderBy("turn", id_col)
     turns = marked.withColumn("turn", F.xxhash64(F.lit(7), id_col))
@@ -183,7 +183,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, id_col)
     texts = texts.withColumn("upto", F.sum(F.octet_length("text")).over(order)).where(F.col("upto") <= SAMPLE_BYTES)
-    return texts.select("text", "y").orderBy("y", "turn", id_col, "text").collect()
+    return texts.select("y", "turn", F.col(id_col).alias("id"), "text")
 
 
 def learn_sums(words: set[str], sums: dict[str, complex], share: np.ndarray) -> None:
@@ -197,9 +197,11 @@ def learn_sums(words: set[str], sums: dict[str, complex], share: np.ndarray) ->
 
 def probability(words: list[str], sums: dict[str, complex], model: Model) -> float:
     """That of the worst window; of the empty bag if there are no words."""
-    logit = model.bias
-    if words:
-        logit = float(_window_logits(np.fromiter(map(sums.__getitem__, words), complex, len(words)), model)[1].max())
+    return _probability(np.fromiter(map(sums.__getitem__, words), complex, len(words)), model)
+
+
+def _probability(each: np.ndarray, model: Model) -> float:
+    logit = float(_window_logits(each, model)[1].max()) if len(each) else model.bias
     return float(1 / (1 + np.exp(-min(max(logit, -60), 60))))
 
 
@@ -207,19 +209,32 @@ def score_batches(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, complex] = {}
         for batch in batches:
-            docs = [words_of(text or "") for text in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             if len(sums) > WORDS:
                 sums = {}
-            learn_sums({w for doc in docs for w in doc}, sums, model.share)
-            scores = [probability(doc, sums, model) for doc in docs]
+            learn_sums({w for text in texts for part in pieces(text or "") for w in words_of(part)}, sums, model.share)
+            scores = []
+            for text in texts:
+                parts = [np.fromiter(map(sums.__getitem__, words), complex, len(words)) for words in map(words_of, pieces(text or ""))]
+                scores.append(_probability(np.concatenate(parts) if parts else np.zeros(0, complex), model))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names)
 
     return run
 
 
+def _train_group(table: pa.Table) -> pa.Table:
+    rows = sorted(table.to_pylist(), key=lambda r: (r["y"], r["turn"], str(r["id"]), r["text"]))
+    model = train([r["text"] for r in rows], [r["y"] for r in rows])
+    return pa.table({"share": pa.array([model.share.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
+
+
 def fit(docs: DataFrame, labels: DataFrame, **names: str) -> Model:
-    rows = sample(docs, labels, **names)
-    return train([r["text"] for r in rows], [r["y"] for r in rows])
+    """The model of the bounded sample, trained in one task; the driver gets one float per bucket and the bias."""
+    small_batches(docs.sparkSession)
+    made = sample(docs, labels, **names).groupBy(F.lit(0).alias("all")).applyInArrow(_train_group, "share binary, bias double").collect()
+    if not made:
+        return train([], [])
+    return Model(np.frombuffer(made[0]["share"], np.float32).astype(np.float64), made[0]["bias"])
 
 
 def score(

@@ -268,5 +268,5 @@ def test_held_out_fold_is_never_trained_on(spark):
 
     docs = spark.range(300).selectExpr("id as doc_id", "concat('text', id) as text")
     labels = spark.range(300).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
-    used = {int(r["text"][4:]) for r in toxicity.sample(docs, labels)}
+    used = {int(r["text"][4:]) for r in toxicity.sample(docs, labels).collect()}
     assert used == {i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1}
