@@ -18,7 +18,9 @@ LENGTH = 400
 #: The difference cover is one modulo Q * Q + Q + 1, of Q + 1 residues; Q is prime.
 Q = 13
 #: Names that one bucket of a sort should hold.
-BUCKET_NAMES = 1_500_000
+BUCKET_NAMES = 800_000
+#: Parts in which a text's copies look up that they are copies.
+SALTS = 32
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
@@ -276,12 +278,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     spans = materialise(starts.mapInArrow(covers, "key long, n long, spans array<struct<start:bigint,stop:bigint>>"))
+    # copies may be many: they find their text in salted parts; a text that stands alone is found by its row's id
+    salt = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SALTS))
+    copied = texts.where("copies > 1").select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("copied"))
+    single = spans.join(texts.where("copies = 1"), ["key", "n"]).select("key", "n", F.col("speaker").alias("doc_id"), "spans")
+    found = narrow.withColumn("salt", salt).join(copied, ["key", "n", "salt"], "left").join(single, ["doc_id", "key", "n"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
-    by_text = texts.join(spans, ["key", "n"], "left").where("copies > 1 or spans is not null")
-    by_text = by_text.select("key", "n", F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans"))
-    return narrow.join(by_text, ["key", "n"], "left").select(
-        "doc_id", "key", F.col("n").alias("n_bytes"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")).alias("spans")
-    )
+    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
+    return found.select("doc_id", "key", F.col("n").alias("n_bytes"), F.when(F.col("copied"), whole).otherwise(F.coalesce("spans", none)).alias("spans"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
