@@ -25,6 +25,8 @@ THRESHOLD = 0.7
 EPOCHS, ROUNDS, BATCH = (2, 2), 8, 32
 #: Distinct words whose sums a worker remembers.
 WORDS = 600_000
+#: Code points from which a text's words are not held.
+GIANT = 1 << 20
 
 _BLANK = dict.fromkeys(map(ord, ".,;:!?\"()"), " ")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -209,13 +211,16 @@ def score_batches(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, complex] = {}
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [text or "" for text in batch.column(batch.num_columns - 1).to_pylist()]
             if len(sums) > WORDS:
                 sums = {}
-            learn_sums({w for text in texts for part in pieces(text or "") for w in words_of(part)}, sums, model.share)
+            # the words of a giant text are read twice rather than held
+            held = [list(map(words_of, pieces(text))) if len(text) < GIANT else None for text in texts]
+            words_in = lambda text, kept: map(words_of, pieces(text)) if kept is None else kept
+            learn_sums({w for pair in zip(texts, held, strict=True) for words in words_in(*pair) for w in words}, sums, model.share)
             scores = []
-            for text in texts:
-                parts = [np.fromiter(map(sums.__getitem__, words), complex, len(words)) for words in map(words_of, pieces(text or ""))]
+            for pair in zip(texts, held, strict=True):
+                parts = [np.fromiter(map(sums.__getitem__, words), complex, len(words)) for words in words_in(*pair)]
                 scores.append(_probability(np.concatenate(parts) if parts else np.zeros(0, complex), model))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names)
 
