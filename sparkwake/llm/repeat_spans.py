@@ -186,6 +186,14 @@ def _gathered(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(key[first], pa.int64()), "n": pa.array(size[first], pa.int64()), "places": pa.array(places, pa.binary())})
 
 
+def _covered(table: pa.Table, length: int) -> pa.Table:
+    """Spans of each text of a slice: gathering and covering in one worker, as a second would only hold more memory."""
+    found = _gathered(table)
+    spans = [[{"start": a, "stop": b} for a, b in cover(_read_places(p), length)] for p in found.column("places").to_pylist()]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    return pa.table({"key": found.column("key"), "n": found.column("n"), "spans": pa.array(spans, kind)})
+
+
 def _read_places(deltas: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(deltas, np.uint32).astype(np.int64))
 
@@ -256,28 +264,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return run
 
-    def sort(rows: DataFrame, buckets: int) -> DataFrame:
-        """key, n and the sorted places of repeated names, one row per text that has any."""
+    def sort(rows: DataFrame, buckets: int, gather, schema: str) -> DataFrame:
+        """What ``gather`` makes of the places of repeated names, one row per text that has any."""
         found = rows.groupBy("bucket").applyInArrow(lambda t: _repeated(t, buckets), SLICE)
-        return found.groupBy("slice").applyInArrow(_gathered, "key long, n long, places binary")
+        return found.groupBy("slice").applyInArrow(gather, schema)
 
     first = max(1, -(-int(total) * len(residues) // (v * BUCKET_NAMES)))
-    hits = materialise(sort(keyed.where(F.col("n") >= length).select("key", "n", "bytes").mapInArrow(sample(first), BLOB), first))
+    hits = materialise(sort(keyed.where(F.col("n") >= length).select("key", "n", "bytes").mapInArrow(sample(first), BLOB), first, _gathered, "key long, n long, places binary"))
     found = hits.agg(F.coalesce(F.sum(F.expr("octet_length(places) div 4")), F.lit(0))).first()[0]
     second = max(1, -(-int(found) * (v // len(residues)) * 2 // BUCKET_NAMES))
     asked = hits.join(texts, ["key", "n"]).select("key", "n", "places", F.col("speaker").alias("doc_id"))
     near = materialise(keyed.join(asked, ["doc_id", "key", "n"]).select("key", "n", "bytes", "places"))
-    starts = sort(near.mapInArrow(merge(second), BLOB), second)
-
-    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [[{"start": a, "stop": b} for a, b in cover(_read_places(p), length)] for p in batch.column("places").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("n"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-                ["key", "n", "spans"],
-            )
-
-    spans = materialise(starts.mapInArrow(covers, "key long, n long, spans array<struct<start:bigint,stop:bigint>>"))
+    spans = materialise(
+        sort(near.mapInArrow(merge(second), BLOB), second, lambda t: _covered(t, length), "key long, n long, spans array<struct<start:bigint,stop:bigint>>")
+    )
     # copies may be many: they find their text in salted parts; a text that stands alone is found by its row's id
     salt = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SALTS))
     copied = texts.where("copies > 1").select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("copied"))
