@@ -211,24 +211,40 @@ def causal_replay(spark, sf):
 k as (select *, row_number() over (partition by vec_id order by d, other) as place from d)
 select vec_id, other, place::int as place, round(d, 6) as distance from k where place <= 3""")
 def knn_distance(spark, sf):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         group = group.sort_values("vec_id")
-        ids, d = group["vec_id"].to_numpy(), topology.distances(np.stack(group["embedding"].to_numpy()).astype(float))
-        out = []
-        for i in range(len(ids)):
-            order = [j for j in np.lexsort((ids, d[i])) if j != i][:3]
-            out += [(ids[i], ids[j], k + 1, d[i, j]) for k, j in enumerate(order)]
-        return pd.DataFrame(out, columns=["vec_id", "other", "place", "distance"])
+        ids, points, tile = group["vec_id"].to_numpy(), np.stack(group["embedding"].to_numpy()).astype(float), group["tile"].to_numpy()
+        sides, out = [np.flatnonzero(tile == t) for t in key[1:]], []
+        for asking, asked in [sides] if key[1] == key[2] else [sides, sides[::-1]]:
+            for i in asking:
+                others = asked[ids[asked] != ids[i]]
+                d = np.sqrt(((points[others] - points[i]) ** 2).sum(axis=1))
+                out += [(ids[i], ids[others[j]], d[j]) for j in np.argsort(d, kind="stable")[:3]]
+        return pd.DataFrame(out, columns=["vec_id", "other", "distance"])
+
+    made = _tile_pairs(spark, sf).groupBy("cloud", "a", "b").applyInPandas(run, "vec_id long, other long, distance double")
+    made = made.withColumn("place", F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "other")))
+    return made.where("place <= 3").select("vec_id", "other", "place", F.round("distance", 6).alias("distance"))
+
+
+#: Points that one tile of a cloud should hold; a task sees two tiles.
+TILE = 1024
+#: Forests of a cloud that one task merges.
+MERGED = 8
 
-    made = _clouds(spark, sf, 500).groupBy("cloud").applyInPandas(run, "vec_id long, other long, place int, distance double")
-    return made.withColumn("distance", F.round("distance", 6))
 
+def _tile_pairs(spark, sf):
+    """Embeddings, one cloud per label, dealt to tiles and sent to every pair (a, b) of their cloud's: any two points meet in one.
 
-def _clouds(spark, sf, size):
-    """Embeddings as point clouds of bounded size: one per label and block of ids."""
-    return table(spark, sf, "embeddings").withColumn("cloud", F.concat_ws("|", "label", F.expr(f"vec_id div {size}")))
+    Clouds are named as in the SQL, whose clouds are whole labels up to 500 ids.
+    """
+    points = table(spark, sf, "embeddings").select(F.concat_ws("|", "label", F.lit(0)).alias("cloud"), "vec_id", "embedding", F.monotonically_increasing_id().alias("row"))
+    tiles = points.groupBy("cloud").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    dealt = points.join(tiles, "cloud").withColumn("tile", F.expr("pmod(xxhash64(row), tiles)"))
+    paired = dealt.withColumn("with", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    return paired.select("cloud", "tiles", "vec_id", "row", "embedding", "tile", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"))
 
 
 def _events(spark, sf, n: int = 2):
@@ -261,14 +277,29 @@ m0 as (select x.cloud, x.k as i, y.k as j, list_distance(x.e, y.e) as d from p x
 u as (select cloud, j, min(d) as death from m7 where i < j group by all)
 select cloud, (row_number() over (partition by cloud order by death))::int as place, round(death, 6) as death from u""")
 def persistence_h0(spark, sf):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    """A cloud's spanning tree has no edge that is not in the tree of some pair of tiles: these are merged, a few at a time."""
+    edges = "cloud string, part long, i long, j long, d double"
 
-        deaths = topology.h0_deaths(np.stack(group["embedding"].to_numpy()))
-        return pd.DataFrame({"cloud": group["cloud"].iloc[0], "place": range(1, len(deaths) + 1), "death": deaths})
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
-    made = _clouds(spark, sf, 500).groupBy("cloud").applyInPandas(run, "cloud string, place int, death double")
-    return made.withColumn("death", F.round("death", 6))
+        rows = group["row"].to_numpy()
+        i, j, d = topology.spanning_tree(np.stack(group["embedding"].to_numpy()))
+        part = key[1] * group["tiles"].iloc[0] + key[2]
+        return pd.DataFrame({"cloud": key[0], "part": part, "i": rows[i], "j": rows[j], "d": d})
+
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        kept = group.iloc[topology.spanning_forest(group["i"].to_numpy(), group["j"].to_numpy(), group["d"].to_numpy())]
+        return kept.assign(part=key[1])[["cloud", "part", "i", "j", "d"]]
+
+    pairs = _tile_pairs(spark, sf)
+    parts = (pairs.agg(F.max("tiles")).first()[0] or 1) ** 2
+    made = pairs.where("a < b or tiles = 1").groupBy("cloud", "a", "b").applyInPandas(run, edges)
+    while parts > 1:
+        made = made.groupBy("cloud", F.expr(f"part div {MERGED}").alias("part")).applyInPandas(merge, edges)
+        parts = -(-parts // MERGED)
+    place = F.row_number().over(Window.partitionBy("cloud").orderBy("d"))
+    return made.select("cloud", place.alias("place"), F.round("d", 6).alias("death"))
 
 
 @query("persistent_laplacian")
