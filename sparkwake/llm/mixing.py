@@ -87,9 +87,17 @@ def mix(
 
     Returns doc_id, size, source_size, target, taken — one row per input row.
     """
+    return _mixed(docs, id_col, text_col, source_col, block, shard_words, seed).drop("skey")
+
+
+def _source_key(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int, shard_words: int, seed: str) -> DataFrame:
     sized = materialise(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-        .withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+        .withColumn("skey", _source_key("source"))
     )
     sources = source_targets(
         sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
@@ -136,22 +144,27 @@ def mix(
     )
     none = sized.where("size = 0").select("skey", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(none).join(sources.select("skey", "source_size", "target"), "skey").select(
-        "doc_id", "size", "source_size", "target", "taken"
+        "skey", "doc_id", "size", "source_size", "target", "taken"
     )
 
 
 def draw_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it: taken / size times, the fraction by a seeded draw.
 
-    Rows that repeat an id are told apart by size and source, and where these agree share what is taken of them.
+    Rows that repeat an id, or have none, are told apart by size and source, and where these agree share what is taken of
+    them. Rows without an id draw by their texts, so that they do not all draw alike; of these, equal texts still do.
     """
-    mixed = mix(docs, id_col, text_col, source_col, seed=seed).where("taken > 0").select("doc_id", "size", "taken")
-    shares = mixed.groupBy("doc_id", "size").agg((F.sum("taken") / F.count("*")).alias("taken"))
-    chance = md5_int(F.lit(seed), F.lit("copies"), "doc_id") / F.lit(float(1 << 32))
-    copies = shares.withColumn("ratio", F.col("taken") / F.col("size")).select(
-        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), (F.floor("ratio") + (chance < F.col("ratio") - F.floor("ratio")).cast("long")).alias("__copies")
-    ).where("__copies > 0")
-    keyed = docs.withColumns({"__size": word_count(F.col(text_col)), "__id": F.col(id_col)})
-    return keyed.join(copies, ["__id", "__size"]).withColumn(
+    mixed = _mixed(docs, id_col, text_col, source_col, BLOCK_WORDS, SHARD_WORDS, seed)
+    shares = mixed.groupBy("doc_id", "size", "skey").agg((F.sum("taken") / F.count("*") / F.col("size")).alias("__ratio"))
+    shares = shares.where("__ratio > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("skey").alias("__skey"), "__ratio")
+    drawn_by = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("no id|"), F.md5(text_col)))
+    keyed = docs.withColumns({
+        "__words": word_count(F.col(text_col)),
+        "__source": _source_key(source_col),
+        "__chance": md5_int(F.lit(seed), F.lit("copies"), drawn_by) / F.lit(float(1 << 32)),
+    })
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__source") == F.col("__skey"))
+    copies = F.floor("__ratio") + (F.col("__chance") < F.col("__ratio") - F.floor("__ratio")).cast("long")
+    return keyed.join(shares, same).withColumn("__copies", copies).where("__copies > 0").withColumn(
         "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
     ).select(*docs.columns)
