@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
@@ -206,6 +206,26 @@ def cover(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, new + 1)].tolist(), (starts[np.append(new, len(starts) - 1)] + length).tolist(), strict=True))
 
 
+def _lane(row_id: str) -> Column:
+    """0, or for rows without an id any of the parts in which they look up their text."""
+    return F.when(F.col(row_id).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+
+
+def _lanes(row_id: str) -> Column:
+    """All lanes in which rows of that id may ask."""
+    each = F.array(*[F.lit(k).cast("long") for k in range(SALTS)])
+    return F.explode(F.when(F.col(row_id).isNull(), each).otherwise(F.slice(each, 1, 1)))
+
+
+def _by_row(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on doc_id, null or not, and keys."""
+    right = right.withColumnsRenamed({c: f"__{c}" for c in ("doc_id", *keys)})
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id"))
+    for c in keys:
+        same &= F.col(c) == F.col(f"__{c}")
+    return left.join(right, same, how).drop("__doc_id", *[f"__{c}" for c in keys])
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q) -> DataFrame:
     """Spans of each text's bytes that lie in a string of ``length`` bytes which also starts anywhere else.
 
@@ -219,7 +239,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Names are fingerprints (64 bits and the bucket) where the classical algorithm has dense ranks: a bucket is bounded however many
     copies there are, and neither level needs a global order. Two different strings among n are confused with a chance of about n / 2^64.
     Text keys are a 64-bit hash and the length. Null texts are empty; texts under ``length`` bytes have no spans; rows
-    that repeat are copies of each other, as any equal texts. Other columns are ignored.
+    that repeat are copies of each other, as any equal texts; rows without an id count as any others. Other columns are ignored.
 
     Returns doc_id, key, n_bytes, spans (array<struct<start,stop>>, bytes) — one row per input row.
     """
@@ -273,16 +293,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = materialise(sort(keyed.where(F.col("n") >= length).select("key", "n", "bytes").mapInArrow(sample(first), BLOB), first, _gathered, "key long, n long, places binary"))
     found = hits.agg(F.coalesce(F.sum(F.expr("octet_length(places) div 4")), F.lit(0))).first()[0]
     second = max(1, -(-int(found) * (v // len(residues)) * 2 // BUCKET_NAMES))
-    asked = hits.join(texts, ["key", "n"]).select("key", "n", "places", F.col("speaker").alias("doc_id"))
-    near = materialise(keyed.join(asked, ["doc_id", "key", "n"]).select("key", "n", "bytes", "places"))
+    asked = hits.join(texts, ["key", "n"]).select("key", "n", "places", F.col("speaker").alias("doc_id")).withColumn("lane", _lanes("doc_id"))
+    near = materialise(_by_row(keyed.withColumn("lane", _lane("doc_id")), asked, ["key", "n", "lane"], "inner").select("doc_id", "key", "n", "bytes", "places"))
+    # of the rows of a text that has no id at all, one speaks
+    near = near.where("doc_id is not null").unionByName(near.where("doc_id is null").dropDuplicates(["key", "n"])).drop("doc_id")
     spans = materialise(
         sort(near.mapInArrow(merge(second), BLOB), second, lambda t: _covered(t, length), "key long, n long, spans array<struct<start:bigint,stop:bigint>>")
     )
     # copies may be many: they find their text in salted parts; a text that stands alone is found by its row's id
-    salt = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SALTS))
+    salt = F.when(F.col("doc_id").isNull(), _lane("doc_id")).otherwise(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SALTS)))
     copied = texts.where("copies > 1").select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("copied"))
-    single = spans.join(texts.where("copies = 1"), ["key", "n"]).select("key", "n", F.col("speaker").alias("doc_id"), "spans")
-    found = narrow.withColumn("salt", salt).join(copied, ["key", "n", "salt"], "left").join(single, ["doc_id", "key", "n"], "left")
+    single = spans.join(texts.where("copies = 1"), ["key", "n"]).select("key", "n", F.col("speaker").alias("doc_id"), "spans").withColumn("lane", F.lit(-1).cast("long"))
+    found = narrow.withColumn("salt", salt).join(copied, ["key", "n", "salt"], "left")
+    found = _by_row(found.withColumn("lane", F.when(F.col("copied"), F.col("salt")).otherwise(F.lit(-1).cast("long"))), single, ["key", "n", "lane"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
     none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
     return found.select("doc_id", "key", F.col("n").alias("n_bytes"), F.when(F.col("copied"), whole).otherwise(F.coalesce("spans", none)).alias("spans"))
@@ -291,12 +314,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What is left of each text: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes).
 
-    spans: as repeated_spans gives them for the same rows. Rows that repeat an id are told apart by their texts.
+    spans: as repeated_spans gives them for the same rows. Rows that repeat an id, or have none, are told apart by their texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), text.cast("binary").alias("bytes"))
     some = materialise(spans.where(F.size("spans") > 0))
-    cut = keyed.join(some.dropDuplicates(["doc_id", "key", "n_bytes"]), ["doc_id", "key", "n_bytes"], "left")
+    some = some.dropDuplicates(["doc_id", "key", "n_bytes"]).withColumn("lane", _lanes("doc_id"))
+    cut = _by_row(keyed.withColumn("lane", _lane("doc_id")), some, ["key", "n_bytes", "lane"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import collections
+import random
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkwake.llm import mixing
+from sparkwake.llm import mixing, repeat_spans
 
 
 def test_mixing_stage_keeps_rows_without_an_id(spark):
@@ -35,3 +36,19 @@ def test_copies_of_an_id_are_told_apart_by_source(spark):
     taken = {(r["doc_id"], r["source_size"]): r["taken"] / r["size"] for r in mixing.mix(docs).collect()}
     sizes = {"a": 64 * 1000, "b": 64 * 200}
     assert all(abs(drawn[i, s] - taken[i, sizes[s]]) < 1 for i, _, s in rows)
+
+
+def test_repeated_spans_of_rows_without_an_id(spark):
+    letters = lambda seed, n: "".join(chr(97 + b % 26) for b in random.Random(seed).randbytes(n))
+    passage, copy = letters(1, 450), letters(2, 700)
+    texts = [
+        (1, letters(3, 300) + passage + letters(4, 200), 450), (None, letters(5, 100) + passage + letters(6, 500), 450),
+        (None, copy, 700), (None, copy, 700), (2, letters(7, 900), 0), (None, letters(8, 900), 0), (None, None, 0),
+        (None, letters(9, 500) * 2, 1000),
+        # copies without an id share a passage with a text that stands alone
+        (3, letters(10, 50) + letters(11, 600)[:420], 420), (None, letters(11, 600), 600), (None, letters(11, 600), 600),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    made = repeat_spans.without_spans(docs, repeat_spans.repeated_spans(docs)).collect()
+    key = lambda r: (str(r[0]), r[1], r[2])
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in made), key=key) == sorted(((i, len(t or ""), n) for i, t, n in texts), key=key)
