@@ -164,19 +164,15 @@ class Gate:
         return {"wealth": s["wealth"].get(who, 1.0), "level": level, "promoted": s["promoted"], "open": s["promoted"] is None}
 
 
-def catoni_psi(x: np.ndarray) -> np.ndarray:
-    """Odd influence function log((1 + x + x^2 / 2) / (1 - x + x^2 / 2)): about 2x near zero, and back to zero far out."""
-    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-        inner = np.log1p(x + x * x / 2) - np.log1p(-x + x * x / 2)
-        w = 1 / np.where(x == 0, 1, x)
-        outer = np.log1p(2 * w + 2 * w * w) - np.log1p(-2 * w + 2 * w * w)
-    return np.where(np.abs(x) <= 1, inner, outer)
+#: Summed influence that counts as none.
+ROOT = 1e-12
 
 
 def catoni_means(columns: list, scale: float, rounds: int = 80) -> np.ndarray:
-    """Per column the root of the summed influence, by bisection between the extremes; all columns at once.
+    """Per column the root of the summed influence log((1 + z + z^2 / 2) / (1 - z + z^2 / 2)), by bisection between the extremes; all at once.
 
-    The influence falls back to zero far out, so the sum may have several roots, and bisection says which is meant.
+    The influence falls back to zero far out, so the sum may have several roots, and bisection says which is meant. A middle at
+    which the sum is zero but for rounding is a root.
     """
     if not columns or not all(map(len, columns)):
         raise ValueError("values must not be empty")
@@ -191,8 +187,8 @@ def catoni_means(columns: list, scale: float, rounds: int = 80) -> np.ndarray:
             break
         z = v - middle[:, None] / scale
         half = 1 + z * z / 2
-        up = (np.log((half + z) / (half - z)) * held).sum(axis=1) > 0
-        low, high = np.where(up, middle, low), np.where(up, high, middle)
+        total = (np.log((half + z) / (half - z)) * held).sum(axis=1)
+        low, high = np.where(total >= -ROOT, middle, low), np.where(total <= ROOT, middle, high)
     return low + (high - low) / 2
 
 

@@ -79,3 +79,17 @@ def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BETS = "bets as (select event_type as gate, user_id as challenger, event_id as t, greatest(-1, least(1, (value - 40) / 53.7))::double as score from events)"
+
+
+def lagged(spark: SparkSession, sf_dir: str, n: int = 2) -> DataFrame:
+    """Per event type the last ``n`` values as features and the next as the target."""
+    order = Window.partitionBy("event_type").orderBy("event_id")
+    e = table(spark, sf_dir, "events").withColumns({"t": F.row_number().over(order), "x": F.col("value") / 100})
+    features = F.array(*[F.coalesce(F.lag("x", k).over(order), F.lit(0.0)) for k in range(n)])
+    return e.select("event_type", "t", features.alias("features"), F.coalesce(F.lead("x").over(order), F.lit(0.0)).alias("target"))
+
+
+def lagged_sql(n: int = 2) -> str:
+    features = ", ".join(f"coalesce(lag(value / 100, {k}) over o, 0)::double as f{k}" for k in range(n))
+    return f"""lagged as (select event_type, row_number() over o as t, {features}, coalesce(lead(value / 100) over o, 0)::double as y
+ from events window o as (partition by event_type order by event_id))"""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import steps, topology
-from ..operators import calibration, economic, learning
+from ..operators import calibration, detect, economic, learning
 from ..operators.folds import fold
-from .inputs import DAILY, PATH, path, table
+from .inputs import PATH, lagged, path, table
 from .queries_path import rounded
 
 Q: dict = {}
@@ -247,25 +247,14 @@ def _tile_pairs(spark, sf):
     return paired.select("cloud", "tiles", "vec_id", "row", "embedding", "tile", F.least("tile", "with").alias("a"), F.greatest("tile", "with").alias("b"))
 
 
-def _events(spark, sf, n: int = 2):
-    order = Window.partitionBy("event_type").orderBy("event_id")
-    e = table(spark, sf, "events").withColumns({"t": F.row_number().over(order), "x": F.col("value") / 100})
-    return e.select("event_type", "t", F.array(*[F.coalesce(F.lag("x", k).over(order), F.lit(0.0)) for k in range(n)]).alias("features"), F.coalesce(F.lead("x").over(order), F.lit(0.0)).alias("target"))
-
-
-@query("block_shift_detector")
-def block_shift_detector(spark, sf):
-    return fold(_events(spark, sf), ["event_type"], "t", steps.BlockShift(8, 2.0))
-
-
 @query("topology_detector")
 def topology_detector(spark, sf):
-    return fold(_events(spark, sf, 1), ["event_type"], "t", topology.TopologyDetector())
+    return detect.topology_path(lagged(spark, sf, 1), ["event_type"], "t", topology.TopologyDetector())
 
 
 @query("persistent_cusum")
 def persistent_cusum(spark, sf):
-    return fold(_events(spark, sf, 2), ["event_type"], "t", topology.PersistentCusum(cloud=8, least=6))
+    return fold(lagged(spark, sf, 2), ["event_type"], "t", topology.PersistentCusum(cloud=8, least=6))
 
 
 _SQUARE = "m{0} as (select x.cloud, x.i, y.j, min(greatest(x.d, y.d)) as d from m{1} x join m{1} y on x.cloud = y.cloud and x.j = y.i group by all)"
@@ -315,40 +304,7 @@ def persistent_laplacian(spark, sf):
     return blocks.groupBy("block").applyInPandas(run, "block long, place int, eigenvalue double")
 
 
-@query("catoni_experts")
-def catoni_experts(spark, sf):
-    rows = _events(spark, sf, 3).select("event_type", "t", F.col("features").alias("utilities"))
-    return fold(rows, ["event_type"], "t", steps.Experts(("last", "before", "earlier"), scale=0.5, switching_cost=0.02, history=64))
-
-
 @query("signature_memory")
 def signature_memory(spark, sf):
-    rows = _events(spark, sf, 2).withColumnRenamed("features", "increment")
+    rows = lagged(spark, sf, 2).withColumnRenamed("features", "increment")
     return fold(rows, ["event_type"], "t", steps.SignatureMemory(2, (1, 2)))
-
-
-@query("wasserstein_learner")
-def wasserstein_learner(spark, sf):
-    return fold(_events(spark, sf, 2).withColumn("instability", F.abs(F.col("target"))), ["event_type"], "t", steps.WassersteinLearner(2))
-
-
-@query("mechanism_rls")
-def mechanism_rls(spark, sf):
-    rows = _events(spark, sf, 4).withColumn("targets", F.array("target", F.col("target") / 2))
-    return fold(rows, ["event_type"], "t", steps.Mechanisms(((0, 1), (2, 3))))
-
-
-@query("promotion_gate_fold")
-def promotion_gate_fold(spark, sf):
-    from .inputs import bets
-
-    rows = bets(spark, sf).select("gate", "t", F.col("challenger").cast("string").alias("challenger"), "score")
-    return fold(rows, ["gate"], "t", steps.Gate(0.2, 0.5))
-
-
-@query("stress_bridge")
-def stress_bridge(spark, sf):
-    users = table(spark, sf, "events").select((F.col("user_id") % 10).alias("scenario")).distinct()
-    shapes = F.array(*[F.struct(F.lit(f"p{k}").alias("path_id"), F.lit(a).alias("initial"), F.lit(b).alias("terminal")) for k, (a, b) in enumerate([(0.0, -1.0), (0.0, 1.0), (0.0, -2.0), (0.0, 2.0)])])
-    paths = users.select("scenario", F.explode(shapes).alias("p")).select("scenario", "p.*").withColumn("reference", 1 + (F.col("scenario") + F.col("terminal") + 2) % 3)
-    return learning.stress_bridge(paths, ["scenario"], {-1.0: 0.35, 1.0: 0.35, -2.0: 0.15, 2.0: 0.15})

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_asof, queries_learning, queries_path
+from .plans import queries_asof, queries_folds, queries_learning, queries_path
 
-_ALL = queries_asof.Q | queries_path.Q | queries_learning.Q
+_ALL = queries_asof.Q | queries_path.Q | queries_learning.Q | queries_folds.Q
 
 
 def queries() -> dict:
