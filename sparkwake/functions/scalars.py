@@ -24,29 +24,37 @@ def position(prediction: Column, scale: float = 1.0, limit: float = 1.0) -> Colu
     return clip(prediction / scale, -limit, limit)
 
 
-def mapped_position(raw: Column, mode: str = "auto", classes: tuple[float, ...] | None = None, most: float = 1.0, short: bool = True) -> Column:
-    """A prediction as a position under one of five modes.
+def _sides(split: float, above: bool = True):
+    """-1 or 1 by where a number stands; a number at the split counts as above, or below."""
+    return lambda x: F.when(x < split if above else x <= split, -1.0).otherwise(1.0)
+
+
+def _chances(x: Column) -> Column:
+    """Labels of 0 and 1 as sides, probabilities between as twice their distance from one half, anything else as it is."""
+    return F.when((x > 0) & (x < 1), 2 * x - 1).when(x.isin(0.0, 1.0), 2 * x - 1).otherwise(x)
+
 
-    raw, position and signal take the number as it is. label and auto read it by the training labels' classes: for (0, 1) a label becomes
-    -1 or 1 and, under auto, a probability its doubled distance from one half; for (-1, 1) the sign counts; under label any other
-    pair is split at the lower class, and without classes the sign counts. Null, NaN and infinity stand for no position.
-    """
-    if mode not in {"auto", "position", "signal", "label", "raw"}:
+#: How a number is read under each mode, by the kind of the training labels' classes; as it is where nothing is said.
+_READINGS = {
+    ("label", "binary"): lambda classes: _sides(0.5),
+    ("label", "signed"): lambda classes: F.signum,
+    ("label", "pair"): lambda classes: _sides(min(classes), above=False),
+    ("label", "none"): lambda classes: F.signum,
+    ("auto", "binary"): lambda classes: _chances,
+    ("auto", "signed"): lambda classes: F.signum,
+}
+_CLASSES = {(0.0, 1.0): "binary", (-1.0, 1.0): "signed"}
+MODES = ("auto", "position", "signal", "label", "raw")
+
+
+def mapped_position(raw: Column, mode: str = "auto", classes: tuple[float, ...] | None = None, most: float = 1.0, short: bool = True) -> Column:
+    """A prediction as a position under one of five modes, see _READINGS; null, NaN and infinity stand for no position."""
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    x = raw
-    if mode in {"auto", "label"} and classes is not None and len(classes) == 2:
-        low, high = sorted(classes)
-        side = F.when(raw < 0.5, -1.0).otherwise(1.0)
-        if (low, high) == (0.0, 1.0):
-            x = side if mode == "label" else F.when(raw.isin(0.0, 1.0), side).when(raw.between(0, 1), 2 * raw - 1).otherwise(raw)
-        elif (low, high) == (-1.0, 1.0):
-            x = F.signum(raw)
-        elif mode == "label":
-            x = F.when(raw <= low, -1.0).otherwise(1.0)
-    elif mode == "label" and classes is None:
-        x = F.signum(raw)
-    bad = raw.isNull() | F.isnan(raw) | (F.abs(raw) == float("inf"))
-    return F.when(bad, 0.0).otherwise(clip(x, -abs(most) if short else 0.0, abs(most)))
+    kind = "none" if classes is None else _CLASSES.get(tuple(sorted(classes)), "pair" if len(classes) == 2 else "many")
+    read = _READINGS.get((mode, kind), lambda classes: lambda x: x)(classes)
+    known = raw.isNotNull() & ~F.isnan(raw) & (F.abs(raw) < float("inf"))
+    return F.when(known, clip(read(raw), -abs(most) if short else 0.0, abs(most))).otherwise(0.0)
 
 
 def cost_rate(transaction: float = 0.0, slippage: float = 0.0, basis_points: float = 0.0) -> float:

@@ -6,6 +6,8 @@ given), and fields, the DDL of its outputs.
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -25,8 +27,17 @@ def _number(x, what: str) -> float:
     return float(x)
 
 
-def rls_update(theta: np.ndarray, p: np.ndarray, x: np.ndarray, y: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """One recursive least-squares step with forgetting; the covariance in Joseph form, which keeps it positive."""
+def attempt(machine, state: dict, row: dict) -> tuple[dict, dict]:
+    """A step that leaves the given state as it is, so a row that fails changes nothing: the new state, and the outputs."""
+    trial = copy.deepcopy(state)
+    return trial, machine.step(trial, row)
+
+
+def rls_update(theta: np.ndarray, p: np.ndarray, x: np.ndarray, y, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """One recursive least-squares step with forgetting; the covariance in Joseph form, which keeps it positive.
+
+    With several targets theta has a column for each; they share the covariance, as that does not depend on them.
+    """
     if not 0 < factor <= 1:
         raise ValueError("a forgetting factor lies in (0, 1]")
     p = p / factor
@@ -34,7 +45,36 @@ def rls_update(theta: np.ndarray, p: np.ndarray, x: np.ndarray, y: float, factor
     gain = px / (1 + x @ px)
     left = np.eye(len(x)) - np.outer(gain, x)
     p = left @ p @ left.T + np.outer(gain, gain)
-    return theta + gain * (y - x @ theta), (p + p.T) / 2
+    error = y - x @ theta
+    return theta + (np.outer(gain, error) if theta.ndim > 1 else gain * error), positive((p + p.T) / 2)
+
+
+def positive(p: np.ndarray, floor: float = 0.0) -> np.ndarray:
+    """A symmetric matrix with its eigenvalues raised to the floor, left as it is if none lies below."""
+    if len(p) == 1:
+        return np.maximum(p, floor)
+    try:
+        np.linalg.cholesky(p)
+        return p
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(p)
+        return (vectors * np.maximum(values, floor)) @ vectors.T
+
+
+class Schedule:
+    """Forgetting factors between two bounds: a constant, one a step, or a rule that sees the step, the features, the prediction and theta, never the target."""
+
+    def __init__(self, factors, least: float = 0.0, most: float = 1.0):
+        self.factors, self.least, self.most = factors, least, most
+
+    def at(self, step: int, features: np.ndarray, prediction, theta: np.ndarray) -> float:
+        if callable(self.factors):
+            factor = self.factors(step, features.copy(), prediction, theta.copy())
+        else:
+            factor = self.factors if isinstance(self.factors, (int, float)) else self.factors[step]
+        if not self.least <= _number(factor, "factor") <= self.most or not 0 < factor <= 1:
+            raise ValueError(f"a factor of {factor} is out of bounds")
+        return float(factor)
 
 
 @dataclass
@@ -44,21 +84,46 @@ class Rls:
     n: int
     ridge: float = 1.0
     factor: float = 1.0
+    schedule: Schedule | None = None
     fields: str = "prediction double, error double, theta array<double>"
 
     def start(self) -> dict:
-        return {"theta": np.zeros(self.n), "p": np.eye(self.n) / self.ridge}
+        return {"theta": np.zeros(self.n), "p": np.eye(self.n) / self.ridge, "step": 0}
 
     def step(self, s: dict, row: dict) -> dict:
         x, y = _vector(row["features"]), _number(row["target"], "target")
         prediction = float(x @ s["theta"])
-        s["theta"], s["p"] = rls_update(s["theta"], s["p"], x, y, row.get("factor") or self.factor)
+        factor = self.schedule.at(s["step"], x, prediction, s["theta"]) if self.schedule else row.get("factor") or self.factor
+        s["theta"], s["p"] = rls_update(s["theta"], s["p"], x, y, factor)
+        s["step"] += 1
         return {"prediction": prediction, "error": y - prediction, "theta": s["theta"].tolist()}
 
 
+@dataclass
+class MultiRls:
+    """Rls with several targets at once: rows have a ``targets`` array; theta is given target by target."""
+
+    n: int
+    outputs: int
+    ridge: float = 1.0
+    factor: float = 1.0
+    fields: str = "prediction array<double>, error array<double>, theta array<double>"
+
+    def start(self) -> dict:
+        return {"theta": np.zeros((self.n, self.outputs)), "p": np.eye(self.n) / self.ridge}
+
+    def step(self, s: dict, row: dict) -> dict:
+        x, y = _vector(row["features"]), _vector(row["targets"])
+        if len(y) != self.outputs:
+            raise ValueError(f"{self.outputs} targets are expected")
+        prediction = x @ s["theta"]
+        s["theta"], s["p"] = rls_update(s["theta"], s["p"], x, y, row.get("factor") or self.factor)
+        return {"prediction": prediction.tolist(), "error": (y - prediction).tolist(), "theta": s["theta"].T.ravel().tolist()}
+
+
 @dataclass
 class RecursiveRun:
-    """Settle what is due, predict, take a position, queue the label with the factor that stood when it was predicted.
+    """Settle what is due, predict, take a position, queue the label with the factor that stood when it was predicted; the queue is bounded.
 
     Rows: step, features, target, available_step, and optionally factor and ready. A factor other than neutral counts
     only if the row is ready and the run is calibrated.
@@ -71,6 +136,7 @@ class RecursiveRun:
     scale: float = 1.0
     limit: float = 1.0
     cost_rate: float = 0.0
+    most_pending: int = 8192
     fields: str = "prediction double, position double, gross double, cost double, factor double, accelerated boolean, pending int"
 
     def start(self) -> dict:
@@ -93,10 +159,29 @@ class RecursiveRun:
         if available is None:
             s["theta"], s["p"] = rls_update(s["theta"], s["p"], x, y, factor)
         else:
+            if len(s["pending"]) >= self.most_pending:
+                raise OverflowError("too many labels are pending")
             s["pending"].append((int(available), x.tolist(), y, factor))
         return {"prediction": prediction, "position": position, "gross": position * y, "cost": cost, "factor": factor, "accelerated": accelerated, "pending": len(s["pending"])}
 
 
+@dataclass
+class Chain:
+    """A hash-chained ledger: each digest covers the payload and the digest before."""
+
+    genesis: str = "genesis"
+    fields: str = "place bigint, before string, digest string"
+
+    def start(self) -> dict:
+        return {"place": 0, "digest": self.genesis}
+
+    def step(self, s: dict, row: dict) -> dict:
+        before = s["digest"]
+        s["place"] += 1
+        s["digest"] = hashlib.sha256(f"{before}|{row['payload']}".encode()).hexdigest()
+        return {"place": s["place"], "before": before, "digest": s["digest"]}
+
+
 @dataclass
 class Cusum:
     drift: float
@@ -164,6 +249,96 @@ class Gate:
         return {"wealth": s["wealth"].get(who, 1.0), "level": level, "promoted": s["promoted"], "open": s["promoted"] is None}
 
 
+@dataclass
+class GateLifecycle:
+    """A gate from registration to the next epoch, event by event.
+
+    Rows: event, challenger, score. register gives a challenger the next slot; seal closes the family, before anything is observed; observe
+    takes a score in, and the first wealth to reach its level promotes and closes the gate; reset_epoch starts all anew with halved
+    levels, the promoted one as incumbent; reset_challenger does so for one. Levels: alpha, halved by slot and by epoch; ``spent`` is the
+    sum of all that were ever given out. While the gate is closed, observations are errors, or skipped if ``skip``.
+    """
+
+    alpha: float
+    eta: float = 0.5
+    incumbent: str = "incumbent"
+    skip: bool = False
+    fields: str = "epoch bigint, level double, wealth double, promoted string, incumbent string, open boolean, spent double, taken boolean"
+
+    def start(self) -> dict:
+        return {"incumbent": self.incumbent, "epoch": 0, "sealed": False, "promoted": None, "family": {}, "spent": 0.0, "audit": 0}
+
+    def share(self, slot: int, epoch: int) -> float:
+        return self.alpha * 2.0**-slot * 2.0 ** -(epoch + 1)
+
+    def _fund(self, s: dict, one: dict, epoch: int) -> None:
+        one.update(epoch=epoch, wealth=1.0, seen=0)
+        s["spent"] += self.share(one["slot"], epoch)
+
+    def would_cross(self, s: dict, challenger: str, score: float) -> bool:
+        one = self._member(s, challenger)
+        return s["promoted"] is None and one["wealth"] * (1 + self.eta * score) >= 1 / self.share(one["slot"], one["epoch"])
+
+    def _member(self, s: dict, challenger: str) -> dict:
+        if challenger not in s["family"]:
+            raise KeyError(f"{challenger} is not registered")
+        return s["family"][challenger]
+
+    def _register(self, s: dict, row: dict) -> bool:
+        if s["sealed"] or row["challenger"] in s["family"] or row["challenger"] == s["incumbent"]:
+            raise ValueError(f"{row['challenger']} cannot be registered: the family is sealed or has it")
+        one = s["family"][row["challenger"]] = {"slot": len(s["family"]) + 1}
+        self._fund(s, one, s["epoch"])
+        return True
+
+    def _seal(self, s: dict, row: dict) -> bool:
+        if s["sealed"] or not s["family"] or s["epoch"] or any(one["seen"] for one in s["family"].values()):
+            raise ValueError("a family is sealed once, with a challenger, before it is observed or reset")
+        s["sealed"] = True
+        return True
+
+    def _observe(self, s: dict, row: dict) -> bool:
+        if s["promoted"] is not None:
+            if self.skip:
+                return False
+            raise ValueError(f"{s['promoted']} is promoted; the gate is closed until the next epoch")
+        one, score = self._member(s, row["challenger"]), _number(row["score"], "score")
+        if not -1 <= score <= 1:
+            raise ValueError("a score lies in [-1, 1]")
+        one["wealth"] *= 1 + self.eta * score
+        one["seen"] += 1
+        if one["wealth"] >= 1 / self.share(one["slot"], one["epoch"]):
+            s["promoted"] = row["challenger"]
+        return True
+
+    def _reset_epoch(self, s: dict, row: dict) -> bool:
+        epoch = max([s["epoch"], *(one["epoch"] for one in s["family"].values())]) + 1
+        s.update(incumbent=s["promoted"] or s["incumbent"], promoted=None, epoch=epoch)
+        for one in s["family"].values():
+            self._fund(s, one, epoch)
+        return True
+
+    def _reset_challenger(self, s: dict, row: dict) -> bool:
+        one = self._member(s, row["challenger"])
+        self._fund(s, one, one["epoch"] + 1)
+        if s["promoted"] == row["challenger"]:
+            s["promoted"] = None
+        return True
+
+    def step(self, s: dict, row: dict) -> dict:
+        events = {"register": self._register, "seal": self._seal, "observe": self._observe, "reset_epoch": self._reset_epoch, "reset_challenger": self._reset_challenger}
+        if row["event"] not in events:
+            raise ValueError(f"unknown event {row['event']}")
+        taken = events[row["event"]](s, row)
+        s["audit"] += taken
+        one = s["family"].get(row["challenger"])
+        level = 1 / self.share(one["slot"], one["epoch"]) if one else None
+        return {
+            "epoch": one["epoch"] if one else s["epoch"], "level": level, "wealth": one["wealth"] if one else None, "promoted": s["promoted"],
+            "incumbent": s["incumbent"], "open": s["promoted"] is None, "spent": s["spent"], "taken": taken,
+        }
+
+
 #: Summed influence that counts as none.
 ROOT = 1e-12
 

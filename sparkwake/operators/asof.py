@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,14 +75,29 @@ def validity(events: DataFrame, keys: list[str], available: str = "available_tim
     return valid.where(F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to")))
 
 
+def place_in(times: list, x: Column, after: bool = False) -> Column:
+    """How many of the sorted times lie before x, or with ``after`` at or before it: the place of the first that doesn't.
+
+    Looks at the last time of each of about sqrt(n) blocks and then at one block, all in the JVM, so many decisions cost little a row.
+    """
+    block = max(1, math.isqrt(len(times)))
+    passed = (lambda d: d <= x) if after else (lambda d: d < x)
+    every = F.array(*[F.lit(t) for t in times])
+    lasts = F.array(*[F.lit(times[min(k + block, len(times)) - 1]) for k in range(0, len(times), block)])
+    whole = F.size(F.filter(lasts, passed)) * block
+    return F.least(F.lit(len(times)), whole + F.size(F.filter(F.slice(every, whole + 1, F.lit(block)), passed)))
+
+
 def snapshots(events: DataFrame, decisions: list, keys: list[str], available: str = "available_time", revision: str = "source_revision") -> DataFrame:
     """Snapshots at many decision times at once: each validity interval emits the decisions that it holds, without a join.
 
     The output has a row per decision and visible key, which is what is asked for; nothing else is enumerated.
     """
-    times = F.array(*[F.lit(d) for d in sorted(decisions)])
+    ordered = sorted(decisions)
     valid = validity(events, keys, available, revision)
-    held = F.filter(times, lambda d: (d >= F.col("valid_from")) & (F.col("valid_to").isNull() | (d < F.col("valid_to"))))
+    first = place_in(ordered, F.col("valid_from"))
+    end = F.when(F.col("valid_to").isNull(), F.lit(len(ordered))).otherwise(place_in(ordered, F.col("valid_to")))
+    held = F.slice(F.array(*[F.lit(d) for d in ordered]), first + 1, F.greatest(F.lit(0), end - first))
     return valid.select(F.explode(held).alias("decision_time"), *[c for c in valid.columns if c not in ("valid_from", "valid_to")])
 
 
@@ -90,10 +107,65 @@ def panel(observations: DataFrame, fields: list[str], instrument: str = "instrum
     return checked(picked, {f"field {f} is missing or not finite": finite(F.col(f)) for f in fields}).orderBy(instrument)
 
 
+def bind(rows: DataFrame, keys: list[str], fields: list[str], into: str = "features") -> DataFrame:
+    """Named entries of the ``fields`` map as one vector, in the order given; a missing or non-finite one is an error."""
+    picked = rows.select(*keys, F.array(*[F.element_at("fields", F.lit(f)) for f in fields]).alias(into))
+    return checked(picked, {"a bound field is missing or not finite": F.forall(into, finite)})
+
+
+def is_member(wanted: DataFrame, memberships: DataFrame, at: str = "at", instrument: str = "instrument_id") -> DataFrame:
+    """Those (instrument, time) that lie in an active membership: a semi-join by instrument, with the interval as its remainder."""
+    spans = memberships.select(F.col(instrument).alias("__i"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    inside = (F.col("__s") <= F.col(at)) & (F.col("__e").isNull() | (F.col(at) < F.col("__e")))
+    return wanted.join(spans, (F.col(instrument) == F.col("__i")) & inside, "left_semi")
+
+
+def universes(expected: DataFrame, active: DataFrame, key: str, member: str) -> DataFrame:
+    """Per key whether the active members are exactly the expected ones; both are reduced to sets before they meet."""
+    names = lambda df, c: df.groupBy(key).agg(F.array_sort(F.collect_set(member)).alias(c))
+    both = names(expected, "want").join(names(active, "have"), key, "full")
+    return both.select(key, F.coalesce(F.col("have") == F.col("want"), F.lit(False)).alias("equal"))
+
+
+def _precedence() -> Column:
+    rank = F.create_map(*[F.lit(x) for kv in PRECEDENCE.items() for x in kv])[F.col("kind")]
+    return F.coalesce(rank, F.raise_error(F.lit("unknown kind of event")).cast("int"))
+
+
+_CANONICAL = ["available_time", "precedence", "ingest_sequence", "record_id"]
+
+
 def canonical_order(events: DataFrame) -> DataFrame:
-    """Rank by availability, kind (universe, market, label), ingest sequence, id."""
-    rank = F.when(F.col("kind") == "universe", 10).when(F.col("kind") == "market", 20).otherwise(30)
-    return events.withColumn("precedence", rank).orderBy("available_time", "precedence", "ingest_sequence", "record_id")
+    """Sorted by availability, kind (universe, market, label), ingest sequence, id; two events in one place are an error."""
+    ranked = events.withColumn("precedence", _precedence())
+    empty_or_fail(duplicates(ranked, _CANONICAL), "two events in one place of the canonical order")
+    return ranked.orderBy(*_CANONICAL)
+
+
+def canonical_place(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The place of each event in the canonical order of its key, from 1."""
+    order = Window.partitionBy(*keys).orderBy(*_CANONICAL)
+    return events.withColumn("precedence", _precedence()).withColumn("place", F.row_number().over(order).cast("long")).drop("precedence")
+
+
+def feature_places(labels: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """The index position of each label's time, which must be one of the index exactly; an unknown time is an error."""
+    found = labels.join(index.select(*keys, "at", "position"), [*keys, "at"], "left")
+    return checked(found, {"a label's time is not in the index": F.col("position").isNotNull()})
+
+
+def append_events(book: DataFrame, fresh: DataFrame, keys: list[str], revision: str = "source_revision") -> DataFrame:
+    """The book with further events; an id and revision that it has already, or that come twice, are an error."""
+    empty_or_fail(duplicates(fresh, [*keys, revision]), "repeated revision")
+    empty_or_fail(fresh.join(book, [*keys, revision], "left_semi"), "revision is in the book already")
+    return book.unionByName(fresh)
+
+
+def unchanged_prefix(before: DataFrame, after: DataFrame, upto, available: str = "available_time") -> None:
+    """Fail if what was visible up to a time has changed since: late events may only become visible later."""
+    old, new = visible(before, upto, available), visible(after, upto, available).select(*before.columns)
+    empty_or_fail(old.exceptAll(new), "a consumed event is gone or changed")
+    empty_or_fail(new.exceptAll(old), "an event was added to what had been consumed")
 
 
 def duplicates(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,9 +179,10 @@ def settle(predictions: DataFrame, labels: DataFrame, decisions: list) -> DataFr
     predictions: target_id, predicted_at; labels: target_id, available_time, value. Unsettled ones keep nulls. A label
     already visible at the prediction is a leak (see leaks).
     """
-    times = F.array(*[F.lit(d) for d in sorted(decisions)])
+    ordered = sorted(decisions)
     joined = predictions.join(labels, "target_id", "left")
-    first = F.array_min(F.filter(times, lambda d: (d >= F.col("available_time")) & (d > F.col("predicted_at"))))
+    place = F.greatest(place_in(ordered, F.col("available_time")), place_in(ordered, F.col("predicted_at"), after=True))
+    first = F.try_element_at(F.array(*[F.lit(d) for d in ordered]), place + 1)
     return joined.withColumn("settled_at", F.when(F.col("available_time").isNotNull(), first))
 
 

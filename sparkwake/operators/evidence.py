@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import score_difference
+from ..schema import empty_or_fail
+from .asof import duplicates
 
 def bounded(x: Column, bound: float) -> Column:
     """Clipped to [-bound, bound] and scaled to [-1, 1]; infinities go to the bound of their sign."""
@@ -36,6 +39,11 @@ def share_alpha(alpha: float, models: int, features: int, epochs: int) -> float:
     return alpha / (models * features * epochs)
 
 
+def would_cross(wealth: Column, score: Column, eta, level) -> Column:
+    """Whether the next score would take a process over its threshold, without taking it in."""
+    return wealth * (1 + eta * score) >= level
+
+
 def wealth(df: DataFrame, keys: list[str], time: str, score: str, eta, start: float = 1.0) -> DataFrame:
     """Adds the running wealth start * product(1 + eta * score): a product window, no fold."""
     run = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
@@ -92,3 +100,47 @@ def evidence_ledger(predictions: DataFrame, labels: DataFrame, keys: list[str],
     return settled.select(
         *keys, "target_id", time, "state", F.row_number().over(order).cast("long").alias("position"), ((F.col("state") == "observed") & (before >= burn_in)).alias("is_evidence")
     )
+
+
+def paired_ledger(predictions: DataFrame, labels: DataFrame, keys: list[str], time: str, now, alpha: float, eta: float, cap: float = 1.0, burn_in: int = 0, expiry: int | None = None) -> DataFrame:
+    """Frozen paired predictions, settled in the order they were made, as evidence for the challenger.
+
+    predictions: keys, prediction_id, time, challenger, incumbent; labels: prediction_id, available_time, status (observed or
+    missing), value. A prediction is settled once its label and those of all before it are there; without a label it expires ``expiry`` after it was made, if
+    given, and holds up all after it until then. The first ``burn_in`` observed labels are no evidence. Each further one has a score, the bounded
+    difference of the capped utilities, and the wealth is the product of 1 + eta * score; the first to reach 1 / alpha promotes from the next
+    step on, and what was predicted later is closed. A label before its decision, a prediction or a label that comes twice, and two
+    predictions of a key at one time are errors.
+
+    Returns keys, prediction_id, time, status (settled, burn_in, missing, expired, pending, closed), settled_at, place, score, wealth, effective_at.
+    """
+    empty_or_fail(duplicates(predictions, ["prediction_id"]), "a prediction was recorded twice")
+    empty_or_fail(duplicates(predictions, [*keys, time]), "decision times must rise")
+    empty_or_fail(duplicates(labels, ["prediction_id"]), "a prediction has two labels")
+    known = labels.select("prediction_id", "available_time", "status", "value")
+    empty_or_fail(predictions.join(known, "prediction_id").where(F.col("available_time") <= F.col(time)).select("prediction_id"), "a label before its decision")
+    seen = predictions.where(F.col(time) <= now).join(known.where(F.col("available_time") <= now), "prediction_id", "left")
+    if expiry is not None:
+        over = F.col("status").isNull() & (F.col(time) + expiry <= now)
+        seen = seen.withColumns({"status": F.when(over, "expired").otherwise(F.col("status")), "available_time": F.when(over, F.col(time) + expiry).otherwise(F.col("available_time"))})
+    order = Window.partitionBy(*keys).orderBy(time)
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    observed = F.col("status") == "observed"
+    made = seen.withColumns({
+        "place": (F.row_number().over(order) - 1).cast("long"),
+        "held_up": F.max(F.col("status").isNull().cast("int")).over(upto) == 1,
+        "settled_at": F.max("available_time").over(upto),
+        "earlier": F.coalesce(F.sum(observed.cast("long")).over(before), F.lit(0)),
+        "gap": score_difference(utility(F.col("challenger"), F.col("value"), cap), utility(F.col("incumbent"), F.col("value"), cap), cap),
+    })
+    counts = ~F.col("held_up") & observed & (F.col("earlier") >= burn_in)
+    made = made.withColumn("score", F.when(counts, F.col("gap"))).withColumn("wealth", F.product(1 + eta * F.coalesce("score", F.lit(0.0))).over(upto))
+    crossed = F.min(F.when(F.col("score").isNotNull() & (F.col("wealth") >= threshold(alpha)), F.col("place"))).over(Window.partitionBy(*keys))
+    made = made.withColumn("crossing", crossed)
+    closed = F.coalesce(F.col("place") > F.col("crossing"), F.lit(False))
+    status = F.when(closed, "closed").when(F.col("held_up"), "pending").when(~observed, F.col("status")).when(F.col("score").isNull(), "burn_in").otherwise("settled")
+    open_ = ~closed & ~F.col("held_up")
+    return made.select(
+        *keys, "prediction_id", time, status.alias("status"), F.when(open_, F.col("settled_at")).alias("settled_at"), "place", F.when(open_, F.col("score")).alias("score"),
+        F.when(open_, F.col("wealth")).alias("wealth"), F.when(F.col("place") == F.col("crossing"), F.col("settled_at") + 1).alias("effective_at"),
+    )

@@ -112,22 +112,51 @@ def stress_bridge(paths: DataFrame, keys: list[str], masses: dict, **options) ->
     return paths.groupBy(*keys).applyInPandas(run, f"{kinds}, weight double, entropy double, rounds int")
 
 
-def walk_forward(df: DataFrame, series: str, time: str, first: int, every: int, window: int | None, delay: int, fit, predict) -> DataFrame:
+def walk_forward(
+    df: DataFrame, series: str, time: str, first: int, every: int, window: int | None, delay: int, fit, predict,
+    action=None, least: int = 1, hold: bool = False, most: float = 1.0, audit: bool = False,
+) -> DataFrame:
     """Refit every ``every`` evaluated rows on rows that lie, and whose labels were known, strictly before; predict the rest.
 
-    fit(features, labels) -> model; predict(model, features) -> float. Returns series, time, prediction, trained_rows.
+    fit(features, labels) -> model, given ``least`` known labels; predict(model, features) -> float; action(prediction, labels) -> position,
+    else the prediction itself; positions are clipped to ``most``, and a row without a prediction keeps the last position if ``hold``,
+    else none. Returns series, time, prediction, trained_rows, position, trained and, with audit, training: the times of the rows learned from.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(time)
-        x, y, out, model = np.stack(group["features"].to_numpy()), group["label"].to_numpy(float), [], None
+        x, y, times = np.stack(group["features"].to_numpy()), group["label"].to_numpy(float), group[time].to_numpy()
+        out, model, known, last = [], None, np.zeros(0, int), 0.0
         for t in range(first, len(group)):
+            fitted = False
             if (t - first) % every == 0 or model is None:
                 known = np.arange(max(0, t - delay))
                 known = known[-window:] if window else known
-                model = fit(x[known], y[known]) if len(known) else None
-            out.append((group[series].iloc[0], group[time].iloc[t], float(predict(model, x[t])) if model is not None else None, len(known)))
-        return pd.DataFrame(out, columns=[series, time, "prediction", "trained_rows"])
+                if len(known) >= least:
+                    model, fitted = fit(x[known], y[known]), True
+            prediction = float(predict(model, x[t])) if model is not None else None
+            if prediction is not None and np.isfinite(prediction):
+                last = min(most, max(-most, float(action(prediction, y[known]) if action else prediction)))
+            elif not hold:
+                last = 0.0
+            made = (group[series].iloc[0], times[t], prediction, len(known), last, fitted)
+            out.append((*made, times[known].tolist()) if audit else made)
+        return pd.DataFrame(out, columns=[series, time, "prediction", "trained_rows", "position", "trained", *["training"] * audit])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [series, time])
-    return df.groupBy(series).applyInPandas(run, f"{kinds}, prediction double, trained_rows int")
+    more = f", training array<{df.schema[time].dataType.simpleString()}>" if audit else ""
+    return df.groupBy(series).applyInPandas(run, f"{kinds}, prediction double, trained_rows int, position double, trained boolean{more}")
+
+
+def baseline_path(df: DataFrame, series: str, time: str, first: int, hook, most: float = 1.0, short: bool = True) -> DataFrame:
+    """Positions of a baseline on the rows from ``first`` on: hook(place, features) -> position, clipped; not-a-number is none."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(time)
+        x = np.stack(group["features"].to_numpy())
+        raw = np.array([float(hook(t, x[t])) if t >= first else 0.0 for t in range(len(group))])
+        low = -most if short else 0.0
+        return group[[series, time]].assign(position=np.clip(np.where(np.isfinite(raw), raw, 0.0), low, most), evaluated=np.arange(len(group)) >= first)
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [series, time])
+    return df.groupBy(series).applyInPandas(run, f"{kinds}, position double, evaluated boolean")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..schema import checked, finite
+
 EPS = 2.220446049250313e-16
 WILSON_Z = 1.959963984540054
 
@@ -23,6 +25,14 @@ def guarded_corr(x: str, y: str, floor: float = 1e-15) -> Column:
     return F.when(flat, 0.0).otherwise(F.corr(x, y))
 
 
+def masked_corr(x: str, y: str, floor: float = EPS) -> tuple[Column, Column]:
+    """Correlation over the pairs of finite numbers, 0 where one of them doesn't vary; and how many finite x there are."""
+    both = finite(F.col(x)) & finite(F.col(y))
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    flat = (F.count(a) < 2) | (F.stddev_pop(a) <= floor) | (F.stddev_pop(b) <= floor)
+    return F.when(flat, 0.0).otherwise(F.corr(a, b)), F.count_if(finite(F.col(x)))
+
+
 def sharpe(x: Column, annual: float, floor: float) -> Column:
     vol = F.stddev_samp(x)
     return F.when((F.count(x) < 2) | (vol <= floor), 0.0).otherwise(F.avg(x) / vol * F.sqrt(F.lit(annual)))
@@ -63,12 +73,14 @@ def bundle(path: DataFrame, series: str, time: str, rate: float, annual: float =
     made = made.withColumn("peak", F.max("equity").over(run))
     seen = F.when(F.col("evaluated"), F.col("net"))
     hit = (F.signum("prediction") == F.signum("label")).cast("double")
-    ok = F.col("evaluated") & F.col("prediction").isNotNull() & F.col("label").isNotNull()
+    predicted = F.col("evaluated") & finite(F.col("prediction"))
+    ok = predicted & finite(F.col("label"))
     p, y = F.when(ok, F.col("prediction")), F.when(ok, F.col("label"))
     flat = (F.stddev_pop(p) <= EPS) | (F.stddev_pop(y) <= EPS) | (F.count(p) < 2)
     return made.groupBy(series).agg(
         F.count("*").alias("n_observations"),
         F.count_if("evaluated").alias("n_evaluated"),
+        F.count_if(predicted).alias("n_predictions"),
         F.sum("gross").alias("gross_return"),
         F.sum("net").alias("net_return"),
         F.sum("cost").alias("total_cost"),
@@ -81,32 +93,102 @@ def bundle(path: DataFrame, series: str, time: str, rate: float, annual: float =
     )
 
 
-def online_bundle(path: DataFrame, series: str, time: str, rate: float, annual: float = 252.0) -> DataFrame:
-    """The metrics of a recursive run: every row counts, turnover is the mean change with the entry from 0."""
+def annualised(net: Column, annual: float = 252.0) -> Column:
+    """Yearly growth of compounded returns."""
+    return F.pow(F.product(1 + net), F.lit(annual) / F.count(net)) - 1
+
+
+def tail(path: DataFrame, series: str, time: str, rows: int) -> DataFrame:
+    """The last rows of each series, for metrics of its end."""
+    back = Window.partitionBy(series).orderBy(F.col(time).desc())
+    return path.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= rows).drop("__back")
+
+
+def online_bundle(path: DataFrame, series: str, time: str, rate: float, annual: float = 252.0, alarm: str | None = None) -> DataFrame:
+    """The metrics of a recursive run: every row counts, turnover is the mean change with the entry from 0.
+
+    With an alarm column and a regime also the mean delay of alarms after the changes of regime, censored where the next
+    one or the path's end comes first, and the alarms before the first change (null without one).
+    """
     made = with_path(path.withColumn("evaluated", F.lit(True)), series, time, rate)
     falls = drawdowns(made, series, time).select(series, F.col("from_first").alias("max_drawdown"))
-    return made.groupBy(series).agg(
+    out = made.groupBy(series).agg(
         F.avg((F.col("prediction") - F.col("label")) ** 2).alias("mse"),
         guarded_corr("prediction", "label").alias("information_coefficient"),
         F.avg("net").alias("mean_net_return"),
         sharpe(F.col("net"), annual, 1e-15).alias("net_sharpe"),
         F.avg("change").alias("turnover"),
     ).join(falls, series)
+    if alarm is None:
+        return out
+    changes = change_points(path, series, time)
+    delays = alarm_delays(path, changes, series, time, alarm).groupBy(series).agg(F.avg("alarm_delay").alias("mean_detection_delay"))
+    return out.join(delays, series, "left").join(false_alarms(path, changes, series, time, alarm), series, "left")
+
+
+def alarm_delays(path: DataFrame, changes: DataFrame, series: str, time: str, alarm: str) -> DataFrame:
+    """Rows from each change to the first alarm before the next change; the length of that stretch if there is none."""
+    order = Window.partitionBy(series).orderBy("cp")
+    ends = path.groupBy(series).agg((F.max(time) + 1).alias("__end"))
+    stops = changes.join(ends, series).withColumn("__stop", F.coalesce(F.lead("cp").over(order), "__end")).select(series, "cp", "__stop")
+    first = _first_after(changes, path.where(F.col(alarm)).select(series, time), series, time, "alarm_delay")
+    length = F.col("__stop") - F.col("cp")
+    return stops.join(first, [series, "cp"]).select(series, "cp", F.least(F.coalesce("alarm_delay", length), length).alias("alarm_delay"))
 
 
-def comparator(path: DataFrame, series: str, time: str, rate: float) -> DataFrame:
-    """Gaps to an optimal position that pays for its own turnover: legacy, absolute, one-sided regret."""
+def false_alarms(path: DataFrame, changes: DataFrame, series: str, time: str, alarm: str) -> DataFrame:
+    """Alarms before the first change of each series that has one."""
+    first = changes.groupBy(series).agg(F.min("cp").alias("__first"))
+    return path.join(first, series).groupBy(series).agg(F.count_if(F.col(alarm) & (F.col(time) < F.col("__first"))).alias("false_alarm_count"))
+
+
+def comparator(path: DataFrame, series: str, time: str, rate: float, expected: str | None = None) -> DataFrame:
+    """Gaps to an optimal position that pays for its own turnover: legacy, absolute, one-sided regret.
+
+    Both sides are valued at the expected returns if there is such a column, else at the realised ones; the legacy gap always sets the
+    comparator's gross against the realised net.
+    """
+    basis = expected or "ret"
     made = with_path(path, series, time, rate)
-    best = with_path(path.withColumn("position", F.col("optimal")), series, time, rate)
-    both = made.join(best.select(series, time, F.col("gross").alias("best_gross"), F.col("net").alias("best_net")), [series, time])
+    valued = made if expected is None else with_path(path.withColumn("ret", F.col(basis)), series, time, rate)
+    best = with_path(path.withColumns({"position": F.col("optimal"), "ret": F.col(basis)}), series, time, rate)
+    both = made.select(series, time, "evaluated", F.col("net").alias("realised_net")).join(
+        valued.select(series, time, "net"), [series, time]
+    ).join(best.select(series, time, F.col("gross").alias("best_gross"), F.col("net").alias("best_net")), [series, time])
     gap = F.col("best_net") - F.col("net")
     return both.groupBy(series).agg(
-        F.sum(F.when(F.col("evaluated"), F.col("best_gross") - F.col("net")).otherwise(0.0)).alias("legacy_gap"),
+        F.sum(F.when(F.col("evaluated"), F.col("best_gross") - F.col("realised_net")).otherwise(0.0)).alias("legacy_gap"),
         F.sum(F.when(F.col("evaluated"), F.abs(gap)).otherwise(0.0)).alias("absolute_discrepancy"),
         F.sum(F.when(F.col("evaluated"), F.greatest(gap, F.lit(0.0))).otherwise(0.0)).alias("one_sided_regret"),
     )
 
 
+def full_bundle(
+    path: DataFrame, series: str, time: str, rate: float, baselines: tuple[DataFrame, ...] = (), persistence: int = 3, annual: float = 252.0, expected: str | None = None
+) -> DataFrame:
+    """All metrics of a path: the bundle, regrets in total and a row, delays by change point in order, and how often a baseline was beaten too early.
+
+    baselines: the same rows with other positions.
+    """
+    made, changes = with_path(path, series, time, rate), change_points(path, series, time)
+    listed = lambda df, c: df.groupBy(series).agg(F.transform(F.array_sort(F.collect_list(F.struct("cp", c))), lambda r: r[c]).alias(f"{c}s"))
+    regrets = comparator(path, series, time, rate, expected)
+    out = bundle(path, series, time, rate, annual).join(regrets, series)
+    live = F.greatest(F.lit(1), F.col("n_evaluated"))
+    out = out.withColumns({f"mean_step_{c}": F.col(c) / live for c in ("legacy_gap", "absolute_discrepancy", "one_sided_regret")})
+    out = out.join(listed(detection_delays(path, changes, series, time, persistence), "detection_delay"), series, "left")
+    out = out.join(listed(recovery_delays(made, changes, series, time), "recovery_delay"), series, "left")
+    none = F.array().cast("array<bigint>")
+    out = out.withColumns({c: F.coalesce(F.col(c).cast("array<bigint>"), none) for c in ("detection_delays", "recovery_delays")})
+    beaten = [against_baseline(made, with_path(b, series, time, rate), series, time).select(series, F.col("false_promotion").cast("long").alias("__f")) for b in baselines]
+    if not beaten:
+        return out.withColumns({"false_promotions": F.lit(0).cast("long"), "baseline_comparisons": F.lit(0).cast("long")})
+    every = beaten[0]
+    for b in beaten[1:]:
+        every = every.unionByName(b)
+    return out.join(every.groupBy(series).agg(F.sum("__f").alias("false_promotions"), F.count("*").alias("baseline_comparisons")), series)
+
+
 def change_points(path: DataFrame, series: str, time: str, regime: str = "regime") -> DataFrame:
     order = Window.partitionBy(series).orderBy(time)
     return path.withColumn("__r", F.lag(regime).over(order)).where(F.col("__r").isNotNull() & (F.col(regime) != F.col("__r"))).select(series, F.col(time).alias("cp"))
@@ -139,14 +221,18 @@ def recovery_delays(made: DataFrame, changes: DataFrame, series: str, time: str)
     return _first_after(changes, back, series, time, "recovery_delay")
 
 
-def against_baseline(candidate: DataFrame, baseline: DataFrame, series: str, time: str, least: float = 0.0) -> DataFrame:
-    """Sums of both over the first half of the common evaluated rows and over the rest; promotion and false promotion."""
-    both = candidate.where("evaluated").select(series, time, F.col("net").alias("c")).join(
-        baseline.where("evaluated").select(series, time, F.col("net").alias("b")), [series, time]
-    )
+def against_baseline(candidate: DataFrame, baseline: DataFrame, series: str, time: str, least: float = 0.0, window: int | None = None, rule=None) -> DataFrame:
+    """Sums of both over the first ``window`` common evaluated rows (half of them unless given) and over the rest; promotion and false promotion.
+
+    Both must have the same rows. rule: what promotes instead of an early excess of more than ``least``, a condition on the returned columns.
+    """
+    side = lambda df, c: df.select(series, time, F.col("evaluated").alias(f"__{c}"), F.col("net").alias(c))
+    both = side(candidate, "c").join(side(baseline, "b"), [series, time], "full")
+    both = checked(both, {"candidate and baseline have different rows": F.col("__c").isNotNull() & F.col("__b").isNotNull()}).where("__c and __b")
     whole = Window.partitionBy(series)
-    nth = F.row_number().over(whole.orderBy(time))
-    both = both.withColumns({"nth": nth, "half": F.greatest(F.lit(1), F.floor(F.count("*").over(whole) / 2))})
+    rows = F.count("*").over(whole)
+    early_rows = F.greatest(F.lit(1), F.floor(rows / 2) if window is None else F.least(F.lit(window), rows))
+    both = both.withColumns({"nth": F.row_number().over(whole.orderBy(time)), "half": early_rows})
     part = lambda x, early: F.coalesce(F.sum(F.when((F.col("nth") <= F.col("half")) == early, F.col(x))), F.lit(0.0))
     sums = both.groupBy(series).agg(
         F.sum("c").alias("candidate_return"), F.sum("b").alias("baseline_return"),
@@ -154,6 +240,6 @@ def against_baseline(candidate: DataFrame, baseline: DataFrame, series: str, tim
         part("c", False).alias("later_candidate"), part("b", False).alias("later_baseline"),
         F.count_if(F.col("nth") > F.col("half")).alias("later"),
     )
-    promoted = F.col("early_candidate") > F.col("early_baseline") + least
-    false = promoted & (F.col("later") > 0) & (F.col("later_candidate") < F.col("later_baseline") - least)
-    return sums.withColumns({"promoted": promoted, "false_promotion": false}).drop("later")
+    promoted = rule if rule is not None else F.col("early_candidate") > F.col("early_baseline") + least
+    false = F.col("promoted") & (F.col("later") > 0) & (F.col("later_candidate") < F.col("later_baseline") - least)
+    return sums.withColumn("promoted", promoted).withColumn("false_promotion", false).drop("later")

@@ -52,6 +52,13 @@ def robust_scale(df: DataFrame, series: str, value: str, floor: float = 1e-12) -
     return spread.select(series, "location", F.greatest(1.4826 * F.col("mad"), F.col("iqr") / 1.3489795, F.lit(floor)).alias("scale"))
 
 
+def mad_scale(df: DataFrame, series: str, value: str, floor: float) -> DataFrame:
+    """Median and scale max(1.4826 MAD, floor) of each series."""
+    centre = df.groupBy(series).agg(F.percentile(value, F.lit(0.5)).alias("location"))
+    off = df.join(centre, series).groupBy(series).agg(F.first("location").alias("location"), F.percentile(F.abs(F.col(value) - F.col("location")), F.lit(0.5)).alias("mad"))
+    return off.select(series, "location", F.greatest(1.4826 * F.col("mad"), F.lit(floor)).alias("scale"))
+
+
 def prior_robust_z(x: Column, order: WindowSpec, length: int, least: int, floor: float = 1e-12) -> Column:
     """Distance from the prior median in prior IQR scales; null before ``least`` prior rows."""
     frame = order.rowsBetween(-length, -1)
@@ -81,14 +88,12 @@ def cusum(df: DataFrame, series: str, time: str, x: str, drift: float, threshold
 
 
 def decaying_cusum(df: DataFrame, series: str, time: str, x: str, drift: float, threshold: float, decay: float) -> DataFrame:
-    """g = max(0, decay * g + x - drift): a JVM fold over the series' ordered values, one row per step."""
-    folded = df.groupBy(series).agg(F.array_sort(F.collect_list(F.struct(time, x))).alias("rows"))
-    step = lambda acc, r: F.concat(
-        acc, F.array(F.greatest(F.lit(0.0), F.coalesce(F.element_at(acc, -1), F.lit(0.0)) * decay + r[x] - drift))
-    )
-    seeded = F.aggregate("rows", F.array(F.lit(0.0)), step)
-    out = folded.withColumn("g", F.slice(seeded, 2, F.size("rows"))).select(series, F.explode(F.arrays_zip("rows", "g")).alias("z"))
-    return out.select(series, F.col("z.rows")[time].alias(time), F.col("z.rows")[x].alias(x), F.col("z.g").alias("g"), (F.col("z.g") >= threshold).alias("alarm"))
+    """g = max(0, decay * g + x - drift), folded row by row: with decay there is no closed form."""
+    from ..functions.steps import Cusum
+    from .folds import fold
+
+    rows = df.select(series, time, F.col(x).alias("x"))
+    return rows.withColumnRenamed("x", x).join(fold(rows, [series], time, Cusum(drift, threshold, decay)), [series, time])
 
 
 def price_features(prices: DataFrame, series: str, time: str, price: str, scale: float = 1.0) -> DataFrame:

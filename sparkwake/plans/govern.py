@@ -17,6 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.asof import place_in
 from ..operators.metrics import WILSON_Z
 from ..schema import empty_or_fail
 from ..sources.feeds import canonical, digest
@@ -96,14 +97,19 @@ class Study:
 def preflight(timeline: DataFrame, labels: DataFrame, memberships: DataFrame, decisions: DataFrame) -> dict[str, int]:
     """Checks before a phase runs: targets unique, no label known at its decision, the universe as expected, decisions covered.
 
-    timeline: decision_time, target_id, expected (array of instruments). Raises at the first breach, else returns counts.
+    timeline: decision_time, target_id, expected (array of instruments); a phase's distinct decision times are few enough for the driver.
+    Raises at the first breach, else returns counts.
     """
     empty_or_fail(timeline.groupBy("target_id").count().where("count > 1"), "repeated target")
     known = timeline.join(labels, "target_id").where("available_time <= decision_time").select("target_id")
     empty_or_fail(known, "label visible at its decision")
     wanted = timeline.select("decision_time", F.explode("expected").alias("instrument_id"))
-    active = timeline.select("decision_time").join(memberships, (F.col("start") <= F.col("decision_time")) & (F.col("end").isNull() | (F.col("decision_time") < F.col("end"))))
-    active = active.select("decision_time", "instrument_id")
+    # a membership names the decisions that it holds: no pairs but those of the universe itself
+    times = sorted(r[0] for r in timeline.select("decision_time").distinct().collect())
+    until = F.when(F.col("end").isNull(), F.lit(len(times))).otherwise(place_in(times, F.col("end")))
+    first = place_in(times, F.col("start"))
+    held = F.slice(F.array(*[F.lit(t) for t in times]), first + 1, F.greatest(F.lit(0), until - first))
+    active = memberships.select(F.explode(held).alias("decision_time"), "instrument_id")
     empty_or_fail(wanted.exceptAll(active).limit(1), "expected instrument is no member")
     empty_or_fail(active.exceptAll(wanted).limit(1), "member is not expected")
     empty_or_fail(timeline.join(decisions, "target_id", "left_anti").select("target_id"), "decision missing")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import asof
+from ..sources import feeds
+from . import govern
 from .inputs import BOOK, book, table
 
 CUT = dt.datetime(2024, 1, 15)
@@ -100,9 +102,7 @@ k as (select *, case when event_type = 'signup' then 10 when event_type = 'purch
 select record_id, ingest_sequence, row_number() over (partition by record_id order by available_time, precedence, ingest_sequence)::bigint as place from k""")
 def canonical_event_order(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "universe").when(F.col("event_type") == "purchase", "label").otherwise("market")
-    rank = F.create_map(*[F.lit(x) for kv in asof.PRECEDENCE.items() for x in kv])[kind]
-    order = Window.partitionBy("record_id").orderBy("available_time", rank, "ingest_sequence")
-    return book(spark, sf).select("record_id", "ingest_sequence", F.row_number().over(order).cast("long").alias("place"))
+    return asof.canonical_place(book(spark, sf).withColumn("kind", kind), ["record_id"]).select("record_id", "ingest_sequence", "place")
 
 
 @query("duplicate_revision_check", """select user_id, event_id % 40 as rev, count(*)::bigint as n from events group by 1, 2 having count(*) > 1""")
@@ -140,9 +140,11 @@ def pending_terminal(spark, sf):
     return asof.settle(predictions, labels, DECISIONS).where("settled_at is null").groupBy("record_id").agg(F.count("*").alias("pending"))
 
 
-@query("leakage_check", f"""with {_LABELS} select target_id from p join n using (target_id) where available_time <= predicted_at""")
+@query("leakage_check", f"""with {_LABELS} select target_id from p join n using (target_id) where available_time - to_hours((target_id % 50)::int) <= predicted_at""")
 def leakage_check(spark, sf):
-    return asof.leaks(*_labelled(spark, sf))
+    """Labels moved up to two days ahead, so that some can be seen too early."""
+    predictions, labels = _labelled(spark, sf)
+    return asof.leaks(predictions, labels.withColumn("available_time", F.expr("available_time - make_interval(0, 0, 0, 0, cast(target_id % 50 as int))")))
 
 
 @query("universe_equality_check", """with a as (select user_id, list_sort(list(distinct event_type)) as have from events where value > 60 group by 1),
@@ -150,36 +152,96 @@ b as (select user_id, list_sort(list(distinct event_type)) as want from events g
 select user_id, coalesce(have = want, false) as equal from b left join a using (user_id)""")
 def universe_equality(spark, sf):
     e = table(spark, sf, "events")
-    names = lambda df, c: df.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias(c))
-    both = names(e, "want").join(names(e.where("value > 60"), "have"), "user_id", "left")
-    return both.select("user_id", F.coalesce(F.col("have") == F.col("want"), F.lit(False)).alias("equal"))
+    return asof.universes(e, e.where("value > 60"), "user_id", "event_type")
 
 
 @query("common_dates", """select o_orderdate::date as d from orders group by 1 having count(distinct o_orderpriority) = 5""")
 def common_dates(spark, sf):
-    days = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count_distinct("o_orderpriority").alias("k"))
-    return days.where("k = 5").select("d")
+    dated = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("d"))
+    return feeds.common_dates(dated, 5)
 
 
 @query("ledger_unsettled", """select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'F')""")
 def ledger_unsettled(spark, sf):
     done = table(spark, sf, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+    return feeds.not_in_ledger(table(spark, sf, "orders").select("o_orderkey"), done, ["o_orderkey"])
 
 
-@query("feature_binding", """select event_id, [coalesce(value / 100, 0), (json_extract(props, '$.k'))::double] as features from events""")
+@query("feature_binding", """select event_id, [value / 100, (json_extract(props, '$.k'))::double] as features from events where value is not null and json_extract(props, '$.k') is not null""")
 def feature_binding(spark, sf):
-    fields = F.map_from_arrays(F.array(F.lit("v"), F.lit("k")), F.array(F.col("value") / 100, F.get_json_object("props", "$.k").cast("double")))
-    bound = table(spark, sf, "events").select("event_id", fields.alias("fields"))
-    return bound.select("event_id", F.array(F.element_at("fields", F.lit("v")), F.element_at("fields", F.lit("k"))).alias("features"))
+    e = table(spark, sf, "events").select("event_id", (F.col("value") / 100).alias("v"), F.get_json_object("props", "$.k").cast("double").alias("k")).where("v is not null and k is not null")
+    fields = F.map_from_arrays(F.array(F.lit("k"), F.lit("v")), F.array("k", "v"))
+    return asof.bind(e.select("event_id", fields.alias("fields")), ["event_id"], ["v", "k"])
 
 
-@query("phase_split", """select case when event_id < 4000 then 'train' when event_id < 4200 then 'embargo' when event_id < 8000 then 'test' else 'holdout' end as phase,
-count(*)::bigint as n, min(event_id) as first_id, max(event_id) as last_id from events group by 1""")
+@query("phase_split", """select case when event_id < 4000 then 'train' when event_id < 8000 then 'test' else 'holdout' end as phase,
+count(*)::bigint as n, min(event_id) as first_id, max(event_id) as last_id from events where event_id < 4000 or event_id between 4200 and 7999 or event_id >= 8200 group by 1""")
 def phase_split(spark, sf):
-    i = F.col("event_id")
-    phase = F.when(i < 4000, "train").when(i < 4200, "embargo").when(i < 8000, "test").otherwise("holdout")
-    return table(spark, sf, "events").groupBy(phase.alias("phase")).agg(F.count("*").alias("n"), F.min(i).alias("first_id"), F.max(i).alias("last_id"))
+    study = govern.Study({"train": (0, 4000), "test": (4200, 8000), "holdout": (8200, 1 << 40)}, embargo=200)
+    study.open_holdout(study.identity, "counted by a query")
+    e, each = table(spark, sf, "events"), None
+    for name in study.phases:
+        rows = study.phase(e, name, "event_id").select(F.lit(name).alias("phase"), "event_id")
+        each = rows if each is None else each.unionByName(rows)
+    return each.groupBy("phase").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+_MEMBERS = "m as (select o_custkey as instrument_id, min(o_orderdate) as start, case when max(o_orderkey) % 3 = 0 then null else max(o_orderdate) end as stop from orders group by 1)"
+
+
+def _memberships(spark, sf):
+    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("instrument_id")).agg(
+        F.min("o_orderdate").alias("start"), F.when(F.max("o_orderkey") % 3 != 0, F.max("o_orderdate")).alias("end")
+    )
+
+
+@query("membership_semijoin", f"""with {_MEMBERS} select o_orderkey from orders where exists (select 1 from m where instrument_id = o_custkey
+ and start <= o_orderdate + to_days(30) and (stop is null or o_orderdate + to_days(30) < stop))""")
+def membership_semijoin(spark, sf):
+    wanted = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("instrument_id"), F.expr("o_orderdate + interval 30 days").alias("at"))
+    return asof.is_member(wanted, _memberships(spark, sf)).select("o_orderkey")
+
+
+@query("book_as_of", f"""with {BOOK},
+o as (select record_id, event_type, row_number() over (partition by record_id order by source_revision desc) as r from book where available_time <= {_CUT}),
+l as (select 'l' || record_id || '-' || (source_revision % 2) as label_id, record_id as target_id, source_revision, ingest_sequence from book where available_time <= {_CUT}),
+l1 as (select *, row_number() over (partition by label_id order by source_revision desc) as r from l), l2 as (select *, row_number() over (partition by target_id order by source_revision desc) as q from l1 where r = 1),
+m as (select record_id as instrument_id, source_revision % 3 as start, case when source_revision % 2 = 0 then 2 end as stop, source_revision, row_number() over (partition by record_id, source_revision % 3 order by source_revision desc) as r from book where available_time <= {_CUT})
+select 'observations' as part, count(*)::bigint as n, sum(record_id)::bigint as total from o where r = 1
+union all select 'labels', count(*), sum(target_id * 10 + source_revision % 10)::bigint from l2 where q = 1
+union all select 'memberships', count(*), sum(instrument_id)::bigint from m where r = 1 and start <= 1 and (stop is null or 1 < stop)""")
+def book_as_of(spark, sf):
+    """A whole book at one decision time: observations by record, labels by label and then target, memberships by interval and then containment."""
+    b = book(spark, sf)
+    cut = F.lit(CUT)
+    labels = b.select(F.expr("concat('l', record_id, '-', source_revision % 2)").alias("label_id"), F.col("record_id").alias("target_id"), "source_revision", "available_time")
+    spans = b.select(F.col("record_id").alias("instrument_id"), (F.col("source_revision") % 3).alias("start"), F.when(F.col("source_revision") % 2 == 0, 2).alias("end"), "source_revision", "available_time")
+    parts = {
+        "observations": asof.snapshot(b, cut, ["record_id"]).select(F.col("record_id").alias("x")),
+        "labels": asof.labels_at(labels, cut).select((F.col("target_id") * 10 + F.col("source_revision") % 10).alias("x")),
+        "memberships": asof.snapshot(spans, cut, ["instrument_id", "start"]).where(asof.contains(1)).select(F.col("instrument_id").alias("x")),
+    }
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.sum("x").cast("long").alias("total"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("label_feature_lookup", """with i as (select user_id, event_id, (row_number() over (partition by user_id order by event_id) - 1)::bigint as position from events)
+select user_id, event_id, position from i where event_id % 3 = 0""")
+def label_feature_lookup(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("at"))
+    index = e.withColumn("position", (F.row_number().over(Window.partitionBy("user_id").orderBy("at")) - 1).cast("long"))
+    return asof.feature_places(e.where("at % 3 = 0"), index, ["user_id"]).select("user_id", F.col("at").alias("event_id"), "position")
+
+
+@query("appended_book", f"""with {BOOK}, a as (select record_id, source_revision, value from book union all select record_id, source_revision + 100000, value + 1 from book where source_revision % 4 = 0)
+select record_id, count(*)::bigint as revisions, max(source_revision) as latest from a group by 1""")
+def appended_book(spark, sf):
+    b = book(spark, sf).select("record_id", "source_revision", "value")
+    more = b.where("source_revision % 4 = 0").select("record_id", (F.col("source_revision") + 100000).alias("source_revision"), (F.col("value") + 1).alias("value"))
+    return asof.append_events(b, more, ["record_id"]).groupBy("record_id").agg(F.count("*").alias("revisions"), F.max("source_revision").alias("latest"))
 
 
 @query("availability_position", f"""with {BOOK}, i as (select record_id, epoch_us(event_time) as at, (row_number() over (partition by record_id order by event_time, ingest_sequence) - 1)::bigint as position from book),

@@ -26,7 +26,7 @@ def rounded(df, *columns, n: int = 6):
 
 @query("path_metric_bundle", f"""with {MADE},
 m as (select *, max(equity) over (partition by series order by t) as peak from made)
-select series, count(*)::bigint as n_observations, count(*) filter (evaluated)::bigint as n_evaluated, round(sum(gross), 6) as gross_return, round(sum(net), 6) as net_return,
+select series, count(*)::bigint as n_observations, count(*) filter (evaluated)::bigint as n_evaluated, count(*) filter (evaluated and prediction is not null)::bigint as n_predictions, round(sum(gross), 6) as gross_return, round(sum(net), 6) as net_return,
  round(sum(cost), 6) as total_cost, round(sum(change), 6) as turnover, round(sum(change) / greatest(1, count(*) filter (evaluated)), 6) as average_turnover,
  round(avg(net) filter (evaluated) / stddev_samp(net) filter (evaluated) * sqrt(252), 6) as sharpe,
  round(max(case when peak > 0 then (peak - equity) / peak else 0 end), 6) as max_drawdown,
@@ -34,7 +34,7 @@ select series, count(*)::bigint as n_observations, count(*) filter (evaluated)::
  round(avg((sign(prediction) = sign(label))::int) filter (evaluated), 6) as hit_rate from m group by series""")
 def path_metric_bundle(spark, sf):
     made = metrics.bundle(path(spark, sf), "series", "t", RATE)
-    return rounded(made, *[c for c in made.columns if c not in ("series", "n_observations", "n_evaluated")])
+    return rounded(made, *[c for c in made.columns if c not in ("series", "n_observations", "n_evaluated", "n_predictions")])
 
 
 @query("online_pnl_path", f"""with {PATH},

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_asof, queries_folds, queries_learning, queries_path
+from .plans import queries_asof, queries_folds, queries_gates, queries_learning, queries_panels, queries_path
 
-_ALL = queries_asof.Q | queries_path.Q | queries_learning.Q | queries_folds.Q
+_ALL = queries_asof.Q | queries_path.Q | queries_learning.Q | queries_folds.Q | queries_gates.Q | queries_panels.Q
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,7 +116,7 @@ def load_book(spark: SparkSession, path: str, require_digest: bool = True) -> di
 def append_new(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> int:
     """Append the rows whose keys the ledger does not have yet; says how many."""
     try:
-        fresh = rows.join(spark.read.schema(rows.schema).parquet(path), keys, "left_anti").select(*rows.columns)
+        fresh = not_in_ledger(rows, spark.read.schema(rows.schema).parquet(path), keys).select(*rows.columns)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -145,15 +145,30 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     first = F.col("j.chart.result")[0]
     pairs = F.arrays_zip(first["timestamp"].alias("ts"), first["indicators"]["adjclose"][0]["adjclose"].alias("p"))
     rows = raw.select("ticker", F.explode(pairs).alias("z"))
-    return rows.select("ticker", F.to_date(F.timestamp_seconds(F.col("z")["ts"])).alias("d"), F.col("z")["p"].alias("adj_close")).where("adj_close > 0")
+    return rows.select("ticker", iso_date(F.col("z")["ts"]).alias("d"), F.col("z")["p"].alias("adj_close")).where("adj_close > 0")
+
+
+def iso_date(epoch: Column) -> Column:
+    """The UTC date of seconds since 1970."""
+    return F.date_from_unix_date(F.floor(epoch / 86400).cast("int"))
 
 
 def common_panel(prices: DataFrame, tickers: list[str]) -> DataFrame:
     """One column per ticker on the dates that all of them have."""
-    wide = prices.groupBy("d").pivot("ticker", tickers).agg(F.first("adj_close"))
+    wide = prices.join(common_dates(prices.where(F.col("ticker").isin(*tickers)), len(tickers)), "d").groupBy("d").pivot("ticker", tickers).agg(F.first("adj_close"))
     return wide.where(" and ".join(f"`{t}` is not null" for t in tickers)).orderBy("d")
 
 
+def common_dates(dated: DataFrame, tickers: int, ticker: str = "ticker", date: str = "d") -> DataFrame:
+    """The dates that all tickers have: partial sets first, so a date's rows never meet whole."""
+    return dated.groupBy(date).agg(F.count_distinct(ticker).alias("__k")).where(F.col("__k") == tickers).select(date)
+
+
+def not_in_ledger(rows: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys the ledger does not have."""
+    return rows.join(ledger, keys, "left_anti")
+
+
 _EXAMPLE = {"string": "text", "bigint": 0, "double": 0.0, "map<string,double>": {"field": 0.0}}
 
 
