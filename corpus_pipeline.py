@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwake.llm import exact_dedup, mixing, near_dedup, piece_codec, toxicity
-from sparkwake.llm.common import materialise, table
+from sparkwake.llm.common import drop_since, materialise, table, tables_written
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,10 +25,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4, on shingles of five words at 0.8: the smallest id of each component stays; rows without an id stay."""
+    """Operator 4, on shingles of five words at 0.8: the smallest id of each component stays; rows without an id stay.
+
+    Rows that share an id are told apart by their texts.
+    """
     found = near_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(gone, same, "left_anti").select(*DOCUMENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), tables_written()
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        drop_since(mark)
     return docs

@@ -9,25 +9,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialise, pieces, small_batches
+from .common import Remembered, giving_back, materialise, pieces, small_batches, worker_cache
 
 #: Registers of a sketch; a band is BAND of them in a row.
 REGISTERS, BAND = 192, 6
+#: The least threshold for which the bands miss no more than 6e-5 of the pairs, and sets without a sketch (under 4 shingles) cannot link.
+LEAST_PERCENT = 80
 MANTISSA = 10
 EMPTY = 0xFFFF
 #: By number of shingles: from this size on a sketch has so many independent hash functions, so registers fill.
 SIZES = ((4, 32), (64, 8), (256, 4), (1024, 1))
 #: A pair this far below the threshold by its estimate is not verified: 5.5 standard errors at 192 registers.
 SLACK = 0.16
-#: Members of a bucket that are compared with each other at a time.
-TILE = 512
+#: Members of a bucket that are compared with each other at a time, and shingles in their sets.
+TILE, TILE_SHINGLES = 512, 2 << 20
 #: Rounds in which members outside a bucket's main component meet one more member of it, before tiles.
 STAR_ROUNDS = 1
 #: Parts in which the copies of a set look up their component.
 SALTS = 32
-WORDS = 300_000
+#: Distinct words, in each of two generations, whose hashes a worker remembers.
+WORDS = 150_000
+#: Links that one file of a round should hold.
+FILE_LINKS = 1_000_000
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _SEEDS = (np.arange(1, 33, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)).reshape(-1, 1)
@@ -39,20 +43,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        made = self[word] = xxhash.xxh3_64_intdigest(word)
-        return made
-
-
-_hashes = _Hashes()
-
-
 def shingle_set(text: bytes, width: int = 2) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``width`` words; a shorter text is one shingle."""
-    if len(_hashes) > WORDS:
-        _hashes.clear()
-    each = [np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) for words in map(bytes.split, pieces(text.lower()))]
+    hashes = worker_cache(("word hashes",), lambda: Remembered(xxhash.xxh3_64_intdigest, WORDS))
+    hashes.forget()
+    each = [np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) for words in map(bytes.split, pieces(text.lower()))]
     h = np.concatenate(each) if each else np.zeros(0, np.uint64)
     if not len(h):
         return h
@@ -122,7 +117,7 @@ def _features(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n", "f1", "f2", "place", "regs", "regs_below", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], ["doc_id", "text_key", "n", "f1", "f2", "place", "regs", "regs_below", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -250,9 +245,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # by now a node is joined to smaller ones only, and of those to the least of each star that it was in
-        low = large.distinct().withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        large = large.distinct()
+        low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
-        step = materialise(low.select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        again = low.select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        step = materialise(again.coalesce(max(1, -(-2 * now[0] // FILE_LINKS))))
     roots = step.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -269,36 +266,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        and each pair in its first common band only: again estimate first, then full sets. A tile returns only as many
        links as connect its components.
 
-    A pair at the threshold itself shares no band with probability 6e-5, at 0.85 below 1e-6; all else is exact.
+    A pair at the threshold itself shares no band with probability 6e-5, at 0.85 below 1e-6. Sets are compared as 64-bit hashes of
+    their shingles: two different shingles of a pair of sets of n are taken for one with a chance of about n^2 / 2^64. ``percent`` must be
+    LEAST_PERCENT or more.
     Texts without words (null, empty, blank) have an empty set and link with nothing; texts with fewer words than a shingle are one
-    shingle. Rows that repeat are members of their class. Ids must be bigint; rows without one come back with nulls. Other columns
-    are ignored.
+    shingle. Very long texts are read in parts, and tiles are bounded by the shingles in their sets. Rows that repeat are members of their
+    class; rows that share an id but not a set are judged each by its own. Ids must be bigint; rows without one come back with
+    nulls. Other columns are ignored.
 
-    Returns doc_id, n_shingles, component_id — one row per input row.
+    Returns doc_id, n_shingles, component_id and text_key (xxhash64 of the text) — one row per input row.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the bands are built for {LEAST_PERCENT} percent or more")
     spark = docs.sparkSession
     small_batches(spark)
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
     texts = every.where("doc_id is not null")
     features = materialise(
         texts.mapInArrow(
-            lambda b: _features(b, width),
-            "doc_id long, n long, f1 long, f2 long, place int, regs binary, regs_below binary, keys array<bigint>",
+            giving_back(lambda b: _features(b, width)),
+            "doc_id long, text_key long, n long, f1 long, f2 long, place int, regs binary, regs_below binary, keys array<bigint>",
         )
     )
     classes = materialise(
         features.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "place", "regs", "regs_below", "keys")).alias("m"), F.count("*").alias("copies"))
-        .select("f1", "f2", F.col("m.doc_id").alias("rep"), "m.n", "m.place", "m.regs", "m.regs_below", "m.keys", "copies")
+        .select("f1", "f2", F.col("m.doc_id").alias("speaker"), F.col("m.doc_id").alias("rep"), "m.n", "m.place", "m.regs", "m.regs_below", "m.keys", "copies")
     )
-    bands = classes.select("rep", F.posexplode("keys").alias("at", "key"), "place").select(
-        "key", "rep", F.expr(f"(if(at < {REGISTERS // BAND}, place, place - 1)) * 1000 + at % {REGISTERS // BAND}").cast("int").alias("band")
+    shared = classes.groupBy("speaker").agg(F.count("*").alias("sets")).where("sets > 1")
+    several = not shared.isEmpty()
+    if several:
+        # rows that share an id but not a set: each set is a node of its own
+        own = F.when(F.col("sets").isNotNull(), -F.shiftrightunsigned(F.xxhash64("f1", "f2"), 1) - 1).otherwise(F.col("speaker"))
+        classes = materialise(classes.join(shared, "speaker", "left").withColumn("rep", own).drop("sets"))
+    bands = classes.select("rep", "n", F.posexplode("keys").alias("at", "key"), "place").select(
+        "key", "rep", "n", F.expr(f"(if(at < {REGISTERS // BAND}, place, place - 1)) * 1000 + at % {REGISTERS // BAND}").cast("int").alias("band")
     )
     hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = materialise(bands.join(hubs.select("key", F.col("hub.rep").alias("hub"), "size"), "key"))
-    needed = members.select("rep").distinct().join(classes.select("rep", "f1", "f2"), "rep")
+    needed = members.select("rep").distinct().join(classes.select("rep", "speaker", "f1", "f2"), "rep")
     sets = materialise(
-        texts.join(needed, texts["doc_id"] == needed["rep"]).select("text", "rep", "f1", "f2")
-        .mapInArrow(lambda b: _sets(b, width), "rep long, set binary")
+        texts.join(needed, texts["doc_id"] == needed["speaker"]).select("text", "rep", "f1", "f2")
+        .mapInArrow(giving_back(lambda b: _sets(b, width)), "rep long, set binary")
     )
     sketches = classes.select("rep", "n", "place", "regs", "regs_below")
 
@@ -308,9 +316,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         promising = (
             pairs.join(sketch("a"), "a").join(sketch("b"), "b")
             .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-            .mapInArrow(lambda b: _promising(b, percent), "a long, b long, comp_a long, comp_b long")
+            .mapInArrow(giving_back(lambda b: _promising(b, percent)), "a long, b long, comp_a long, comp_b long")
         )
-        return promising.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _verified(b, percent), "a long, b long")
+        return promising.join(side("a"), "a").join(side("b"), "b").mapInArrow(giving_back(lambda b: _verified(b, percent)), "a long, b long")
 
     def grown(comps: DataFrame, links: DataFrame) -> DataFrame:
         """Components once some of them are linked; only the linked ones are searched."""
@@ -319,12 +327,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def split_buckets(comps: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
         """Members with their components, and of each bucket of several: the main one, its size and a member of it."""
-        placed = members.join(comps, "rep").select("key", "rep", "band", "comp")
+        placed = members.join(comps, "rep").select("key", "rep", F.col("n").alias("shingles"), "band", "comp")
         several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         placed = materialise(placed.join(several, "key"))
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep")).alias("hub"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("n", -F.col("comp"), "comp", "hub.rep")).alias("m"), F.sum("n").alias("total"))
-        return placed, main.select("key", F.col("m.comp").alias("main_comp"), F.col("m.n").alias("main_n"), F.col("m.rep").alias("hub"), "total")
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles"), F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("h"), "rep")).alias("hub"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("n", -F.col("comp"), "comp", "hub.rep", "shingles")).alias("m"), F.sum("n").alias("total"), F.sum("shingles").alias("total_s"))
+        return placed, main.select("key", F.col("m.comp").alias("main_comp"), F.col("m.n").alias("main_n"), F.col("m.shingles").alias("main_s"), F.col("m.rep").alias("hub"), "total", "total_s")
 
     comps = members.select("rep", F.col("rep").alias("comp")).distinct()
     stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
@@ -336,14 +344,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
         comps = grown(comps, verified(outside.distinct()))
     placed, main = split_buckets(comps, 0)
-    slots = lambda count: F.greatest(F.lit(1), F.ceil(F.expr(f"({count}) / {TILE}"))).cast("int")
+    slots = lambda count, shingles: F.greatest(F.lit(1), F.ceil(F.expr(f"({count}) / {TILE}")), F.ceil(F.expr(f"({shingles}) / {TILE_SHINGLES}"))).cast("int")
     dealt = placed.join(main, "key").select(
-        "key", "rep", "band", "comp", (F.col("comp") == F.col("main_comp")).alias("main"), "total",
-        slots("main_n").alias("mains"), slots("total - main_n").alias("others"),
+        "key", "rep", "band", "comp", (F.col("comp") == F.col("main_comp")).alias("main"), (F.expr(f"total <= {TILE} and total_s <= {TILE_SHINGLES}")).alias("small"),
+        slots("main_n", "main_s").alias("mains"), slots("total - main_n", "total_s - main_s").alias("others"),
     ).withColumn("slot", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     place = "array<struct<kind:int,i:int,j:int>>"
     dealt = dealt.withColumn("tiles", F.expr(
-        f"case when total <= {TILE} then cast(array(struct(0, 0, 0)) as {place})"
+        f"case when small then cast(array(struct(0, 0, 0)) as {place})"
         f" when main then cast(transform(sequence(0, others - 1), o -> struct(1, slot, o)) as {place})"
         f" else concat(cast(transform(sequence(0, mains - 1), m -> struct(1, m, slot)) as {place}),"
         f" cast(transform(sequence(0, others - 1), o -> struct(2, least(o, slot), greatest(o, slot))) as {place})) end"
@@ -354,22 +362,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("rep", pa.int64())])
     touched = materialise(
         in_tiles(tiles.join(sketches, "rep")).mapInArrow(
-            lambda b: _tiles(b, lambda t: _touched(t, percent), schema), "key long, kind int, i int, j int, rep long"
+            giving_back(lambda b: _tiles(b, lambda t: _touched(t, percent), schema)), "key long, kind int, i int, j int, rep long"
         )
     )
     doubtful = touched.join(tiles, [*tile_key, "rep"]).join(sketches, "rep").join(sets, "rep")
     second = in_tiles(doubtful).mapInArrow(
-        lambda b: _tiles(b, lambda t: _joined(t, percent), pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long"
+        giving_back(lambda b: _tiles(b, lambda t: _joined(t, percent), pa.schema([("a", pa.int64()), ("b", pa.int64())]))), "a long, b long"
     )
     comps = grown(comps, second)
     # copies may be many: they find their class in salted parts; a set that stands alone is found by its row's id
-    reps = classes.select("f1", "f2", "rep", "copies").join(comps, "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
+    reps = classes.select("f1", "f2", "rep", "speaker", "copies").join(comps, "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
+    if several:
+        least = reps.groupBy("component_id").agg(F.min("speaker").alias("least"))
+        reps = reps.join(least, "component_id").withColumn("component_id", F.col("least"))
     copied = reps.where("copies > 1").select("f1", "f2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.col("component_id").alias("of_copies"))
-    single = reps.where("copies = 1").select(F.col("rep").alias("doc_id"), "f1", "f2", "component_id")
-    sized = features.where("n > 0").select("doc_id", "n", "f1", "f2", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SALTS)).alias("salt"))
+    single = reps.where("copies = 1").select(F.col("speaker").alias("doc_id"), "f1", "f2", "component_id")
+    sized = features.where("n > 0").select("doc_id", "text_key", "n", "f1", "f2", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SALTS)).alias("salt"))
     full = sized.join(copied, ["f1", "f2", "salt"], "left").join(single, ["doc_id", "f1", "f2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("of_copies", "component_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("of_copies", "component_id").alias("component_id"), "text_key"
     )
-    alone = features.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    nameless = every.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component_id")])
+    alone = features.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key")
+    nameless = every.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component_id")], "text_key")
     return full.unionByName(alone).unionByName(nameless)

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, small_batches
+from .common import give_back, giving_back, pieces, small_batches
 
-#: Bounds of the training sample: clean and toxic rows, and bytes of text of each.
+#: Bounds of the training sample: clean and toxic rows, bytes of text of each, and of a single text; longer texts take no part.
 SAMPLE_ROWS = (2500, 1000)
-SAMPLE_BYTES = 12 << 20
+SAMPLE_BYTES, TEXT_BYTES = 12 << 20, 1 << 20
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 DIM = 8
@@ -24,7 +24,7 @@ WINDOW, STEP = 4, 2
 THRESHOLD = 0.7
 EPOCHS, ROUNDS, BATCH = (2, 2), 8, 32
 #: Distinct words whose sums a worker remembers.
-WORDS = 600_000
+WORDS = 200_000
 #: Code points from which a text's words are not held.
 GIANT = 1 << 20
 
@@ -176,16 +176,23 @@ def held_out(id_col: str):
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """A bounded training sample in seeded order: SAMPLE_ROWS and SAMPLE_BYTES of each label. Columns text, y, turn and the id."""
+    """A bounded training sample in seeded order: at most SAMPLE_ROWS and about SAMPLE_BYTES of each label. Columns text, y, turn and the id.
+
+    Labels without a document, and documents over TEXT_BYTES, use up nothing of it. Only ids and sizes are looked at until the rows are
+    chosen. Of rows that share an id one counts; labels that contradict each other count as toxic; other labels than 0 and 1, and null ids, do not count.
+    """
     marked = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    order = Window.partitionBy("y").orderBy("turn", id_col)
-    turns = marked.withColumn("turn", F.xxhash64(F.lit(7), id_col))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sized = docs.select(id_col, F.octet_length(text).cast("long").alias("n"), F.xxhash64(text).alias("key")).where(F.col("n") <= TEXT_BYTES)
+    known = sized.join(marked, id_col).groupBy(id_col, "y").agg(F.min(F.struct("n", "key")).alias("m"))
+    turns = known.select(id_col, "y", "m.n", "m.key", F.xxhash64(F.lit(7), id_col).alias("turn"))
     chosen = turns.where("y = 0").orderBy("turn", id_col).limit(SAMPLE_ROWS[0]).unionByName(
         turns.where("y = 1").orderBy("turn", id_col).limit(SAMPLE_ROWS[1])
     )
-    texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, id_col)
-    texts = texts.withColumn("upto", F.sum(F.octet_length("text")).over(order)).where(F.col("upto") <= SAMPLE_BYTES)
-    return texts.select("y", "turn", F.col(id_col).alias("id"), "text")
+    before = Window.partitionBy("y").orderBy("turn", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    chosen = chosen.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < SAMPLE_BYTES).drop("n", "before")
+    texts = docs.select(id_col, text.alias("text")).withColumn("key", F.xxhash64("text")).join(chosen, [id_col, "key"])
+    return texts.select("y", "turn", F.col(id_col).alias("id"), "text").dropDuplicates(["id"])
 
 
 def learn_sums(words: set[str], sums: dict[str, complex], share: np.ndarray) -> None:
@@ -229,7 +236,11 @@ def score_batches(model: Model, names: list[str]):
 
 def _train_group(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: (r["y"], r["turn"], str(r["id"]), r["text"]))
-    model = train([r["text"] for r in rows], [r["y"] for r in rows])
+    texts, marks = [r["text"] for r in rows], [r["y"] for r in rows]
+    del rows
+    model = train(texts, marks)
+    del texts
+    give_back()
     return pa.table({"share": pa.array([model.share.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
 
 
@@ -255,5 +266,5 @@ def score(
     small_batches(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.select(*carry, F.col(text_col).alias("__text")).mapInArrow(
-        score_batches(model, [*carry, score_col]), f"{kinds}, `{score_col}` double"
+        giving_back(score_batches(model, [*carry, score_col])), f"{kinds}, `{score_col}` double"
     )

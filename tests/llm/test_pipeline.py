@@ -6,6 +6,7 @@ import collections
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkwake.llm import mixing, toxicity
@@ -47,3 +48,28 @@ def test_stages(spark):
     coded = kept[5].collect()
     assert len(coded) == sum(copies.values())
     assert all(r["ids"] == library.encode(rows[4][r["doc_id"]]["text"] or "") for r in coded)
+
+
+EDGES = [
+    (1, "clean words that stand here for the first time in this table and go on a while", "en", "a", 1), (2, None, None, None, None), (3, "", "en", "a", 0), (4, " \n ", "en", "b", 3),
+    (5, "The same text, twice with one id.", "en", "a", 1), (5, "The same text, twice with one id.", "en", "a", 1), (5, "another text under that id which nobody else has got in here", "en", "b", 1),
+    (None, "no id", "en", "a", 1), (None, "no id", "en", "a", 1), (6, "word " * 90_000, "en", "c", 1), (7, "CLEAN words that stand here for the first time in this table and go on a while", "de", "a", 1),
+]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, and no rows at all; labels with further columns."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, 0, i % 2, "x") for i in range(8)], "doc_id long, quality long, toxic long, text string").write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in (EDGES, []):
+        docs = spark.createDataFrame(rows, columns).withColumns({c: F.lit("x") for c in ("key", "size", "kept", "shard", "score", "component_id")})
+        kept = [docs]
+        for name, stage in corpus_pipeline.STAGES:
+            before = kept[-1] if name != "exact dedup" else docs.select(*corpus_pipeline.DOCUMENT)  # the model of eight labels may reject anything
+            kept.append(materialise(stage(spark, before, str(tmp_path))))
+        ids = [sorted((r["doc_id"] for r in df.collect()), key=str) for df in kept]
+        if rows:
+            assert ids[2] == sorted([3, 4, 5, 5, 6, 7, None], key=str) and ids[3] == ids[2]
+            assert all(i in ids[3] for i in ids[4])
+        else:
+            assert ids == [[]] * 6
