@@ -43,17 +43,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.drop("text_key").withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    n_tokens = token_counts.total(F.col("prefixes"))
+    return counted.select(
+        "doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > TOKEN_LIMIT).alias("over_limit"),
+        token_counts.words_within(F.col("prefixes"), TOKEN_LIMIT).alias("words_within"), "prefixes",
+    )
 
 
 def op6_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return repeat_spans.without_spans(docs, repeat_spans.repeated_spans(docs)).drop("kept")
+    left = repeat_spans.without_spans(docs, repeat_spans.repeated_spans(docs, passage=repeat_spans.PASSAGE))
+    return left.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.size("passages").cast("long").alias("n_passages"), (F.size("passages") > 0).alias("has_passage"),
+    )
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

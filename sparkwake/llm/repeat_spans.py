@@ -1,24 +1,30 @@
-"""Repeated byte strings by a difference-cover suffix sort, bounded to the length that matters."""
+"""Repeated strings of bytes or words by a difference-cover suffix sort, bounded to the length that matters."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import WORD, giving_back, materialise, small_batches
 
-#: Bytes of a string that counts as repeated.
-LENGTH = 400
-#: The difference cover is one modulo Q * Q + Q + 1, of Q + 1 residues; Q is prime.
-Q = 13
+#: Bytes of a string that counts as repeated, and words of a passage that does.
+LENGTH, PASSAGE = 400, 50
+#: The difference cover is one modulo Q * Q + Q + 1, of Q + 1 residues; Q is prime. For bytes, and for words.
+Q, WORD_Q = 13, 5
 #: Names that one bucket of a sort should hold.
 BUCKET_NAMES = 800_000
+#: Names that a task compares with each other before it sends them; names it remembers as sent and repeated.
+FLUSH_NAMES, KNOWN_NAMES = 400_000, 1_000_000
+#: Symbols that are hashed at a time.
+PART = 1 << 20
 #: Parts in which a text's copies look up that they are copies.
 SALTS = 32
 
@@ -72,126 +78,296 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return held[:n]
 
 
-def window_names(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """64-bit names of the windows that begin at ``starts``: two rolling hashes, mixed into one."""
-    total = np.zeros(len(starts), np.uint64)
-    for letters, base in zip(_letters(), (_A, _B), strict=True):
+def _rolled(letters: tuple[np.ndarray, np.ndarray], starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two rolling hashes, one a family of letters, of what lies between starts and stops; independent of where it lies."""
+    out = []
+    for each, base in zip(letters, (_A, _B), strict=True):
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(letters[text] * _power(base, len(text)), out=sums[1:])
-        total = _mix(total + (sums[starts + length] - sums[starts]) * _power(inverse, len(text))[starts])
-    return total
+        sums = np.zeros(len(each) + 1, np.uint64)
+        np.cumsum(each * _power(base, len(each)), out=sums[1:])
+        out.append((sums[stops] - sums[starts]) * _power(inverse, len(each) + 1)[starts])
+    return out[0], out[1]
+
+
+def _families(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if codes.dtype == np.uint8:
+        return _letters()[0][codes], _letters()[1][codes]
+    return _mix(codes * _A), _mix(codes * _B)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit code of each word, a run without ASCII white space, of texts that lie end to end; and each text's first word."""
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    first[edges] |= inside[edges]
+    last[edges - 1] |= inside[edges - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    codes = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + PART)))
+        low = starts[at]
+        a, b = _rolled(_families(data[low : stops[to - 1]]), starts[at:to] - low, stops[at:to] - low)
+        codes[at:to] = _mix(_mix(a) + b)
+        at = to
+    return codes, np.searchsorted(starts, offsets)
+
+
+def window_names(codes: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of the windows that begin at the sorted ``starts``, and 32 further bits that deal them to buckets."""
+    names, tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for at in range(0, len(codes), PART):
+        here = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + PART)] - at
+        if len(here):
+            a, b = _rolled(_families(codes[at : at + PART + length]), here, here + length)
+            names.append(_mix(_mix(a) + b))
+            tags.append(_mix(a ^ _mix(b + _B)) >> np.uint64(32))
+    return np.concatenate(names), np.concatenate(tags)
+
+
+@dataclass(frozen=True)
+class Measure:
+    """Which strings count as repeated: so many units long, standing anywhere else, or (across) in another text."""
+
+    unit: str
+    length: int
+    q: int
+    across: bool
+
+    @property
+    def seed(self) -> int:
+        """Units of a sampled name: what a string has left after the first sampled place that it shares with its equal."""
+        return self.length - difference_cover(self.q)[0] + 1
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Buckets of each measure, numbered one after the other."""
+
+    counts: tuple[int, ...]
+
+    def first(self, measure: int) -> int:
+        return sum(self.counts[:measure])
+
+    def measure_of(self, bucket: int) -> int:
+        return next(m for m in range(len(self.counts)) if bucket < self.first(m + 1))
 
 
 BLOB = "bucket int, names binary, places binary, keys binary, sizes binary, counts binary"
+SLICE = "slice int, places binary, keys binary, sizes binary, counts binary"
+_KINDS = {"bucket": pa.int32(), "slice": pa.int32()}
 
 
-class _Packer:
-    """Names of many texts, dealt to buckets: one row a bucket, with names, place deltas, and which text has how many."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.names, self.places, self.owner, self.keys = buckets, [], [], [], []
-
-    def add(self, key: int, size: int, names: np.ndarray, places: np.ndarray) -> None:
-        if len(names):
-            self.names.append(names)
-            self.places.append(places)
-            self.owner.append(np.full(len(names), len(self.keys), np.int64))
-            self.keys.append((key, size))
-
-    def batch(self) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in range(6)]
-        if self.keys:
-            names, places, owner = np.concatenate(self.names), np.concatenate(self.places), np.concatenate(self.owner)
-            keys = np.array(self.keys, np.int64)
-            bucket = (names % np.uint64(self.buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                part = order[lo:hi]
-                held, first, counts = np.unique(owner[part], return_index=True, return_counts=True)
-                deltas = np.diff(places[part], prepend=0)
-                deltas[first] = places[part][first]
-                row = (int(bucket[part[0]]), names[part].tobytes(), deltas.astype(np.uint32).tobytes(), keys[held, 0].tobytes(), keys[held, 1].tobytes(), counts.astype(np.uint32).tobytes())
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-        kinds = [pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "names", "places", "keys", "sizes", "counts"])
-
-
-def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-
-def _texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.table([pa.array(c, _KINDS.get(n, pa.binary())) for c, n in zip(columns, names, strict=True)], names)
+
+
+def _packed(key: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[bytes, ...]:
+    """places, keys, sizes, counts of entries that lie text by text: place deltas, and which text has how many."""
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1])))
+    deltas = np.diff(place, prepend=0)
+    deltas[first] = place[first]
+    counts = np.diff(np.append(first, len(key)))
+    return deltas.astype(np.uint32).tobytes(), key[first].tobytes(), size[first].tobytes(), counts.astype(np.uint32).tobytes()
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """key, size and place of each entry of packed rows."""
-    counts = _column(table, "counts", np.uint32).astype(np.int64)
+    column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    counts = column("counts", np.uint32).astype(np.int64)
     ends = np.cumsum(counts)
-    running = np.cumsum(_column(table, "places", np.uint32).astype(np.int64))
+    running = np.cumsum(column("places", np.uint32).astype(np.int64))
     before = np.repeat(np.append(0, running[ends[:-1] - 1]) if len(ends) else ends, counts)
-    return np.repeat(_column(table, "keys", np.int64), counts), np.repeat(_column(table, "sizes", np.int64), counts), running - before
+    return np.repeat(column("keys", np.int64), counts), np.repeat(column("sizes", np.int64), counts), running - before
+
 
+class _Packer:
+    """Names of many texts, dealt to buckets, and compared within the task before they are sent.
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """name, key, size and place of each entry of a bucket."""
-    return _column(table, "names", np.uint64), *_texts_of(table)
+    What repeats here is known to be repeated, so only one entry of such a name goes to its bucket, once a task, and the others
+    travel as places alone. So a string that stands in a third of all texts costs its bucket an entry a task.
+    """
 
+    def __init__(self, first: int, buckets: int, across: bool):
+        self.first, self.buckets, self.across = first, buckets, across
+        self.known = np.zeros(0, np.uint64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.names, self.tags, self.places, self.owner, self.keys, self.held = [], [], [], [], {}, 0
+
+    def fresh(self, keys: list[tuple[int, int]]) -> np.ndarray:
+        """Which texts have no equal before them among those not sent yet; they are noted."""
+        out = np.zeros(len(keys), bool)
+        for i, key in enumerate(keys):
+            if key not in self.keys:
+                self.keys[key] = len(self.keys)
+                out[i] = True
+        return out
+
+    def add(self, owner: np.ndarray, places: np.ndarray, names: np.ndarray, tags: np.ndarray) -> None:
+        for to, what in ((self.names, names), (self.tags, tags), (self.places, places), (self.owner, owner)):
+            to.append(what)
+        self.held += len(names)
+
+    def rows(self) -> Iterator[tuple]:
+        """BLOB rows of what was added since the last call; those without names are places known to be repeated."""
+        if self.held:
+            names, tags, places, owner = (np.concatenate(x) for x in (self.names, self.tags, self.places, self.owner))
+            keys = np.array(list(self.keys), np.int64)
+            order = np.argsort(names, kind="stable")
+            sorted_names, sorted_tags = names[order], tags[order]
+            new = np.append(True, (sorted_names[1:] != sorted_names[:-1]) | (sorted_tags[1:] != sorted_tags[:-1]))
+            start, group = np.flatnonzero(new), np.cumsum(new) - 1
+            if self.across:
+                repeated = np.minimum.reduceat(owner[order], start) != np.maximum.reduceat(owner[order], start)
+            else:
+                repeated = np.diff(np.append(start, len(order))) > 1
+            sent = _among(sorted_names[start], self.known)
+            hit = (repeated | sent)[group]
+            send = ~hit
+            send[start[repeated & ~sent]] = True
+            self.known = np.union1d(self.known, sorted_names[start[repeated]])
+            if len(self.known) > KNOWN_NAMES:
+                self.known = np.zeros(0, np.uint64)
+            sends, hits = np.sort(order[send]), np.sort(order[hit])
+            bucket = (tags[sends] % np.uint64(self.buckets)).astype(np.int64)
+            for these in _split(bucket):
+                at = sends[these]
+                yield self.first + int(bucket[these[0]]), names[at].tobytes(), *_packed(*keys[owner[at]].T, places[at])
+            if len(hits):
+                yield self.first + int(keys[owner[hits[0]], 0] % self.buckets), None, *_packed(*keys[owner[hits]].T, places[hits])
+        self._clear()
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted array."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _split(group: np.ndarray) -> list[np.ndarray]:
+    """Places of each value, in order."""
+    order = np.argsort(group, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []
+
+
+def _ranges(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count, one after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _named(measures: list[Measure], layout: Layout, places_of: Callable, length_of: Callable, flush: int) -> Callable:
+    """For mapInArrow: names the windows of length_of(measure) at the places that places_of says, and packs them.
+
+    The texts of a batch are hashed end to end. places_of(measure, its number, batch, first symbol of each text, which texts are asked) -> text and
+    place of each window, in order.
+    """
 
-def _repeated(table: pa.Table, slices: int) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packers = [_Packer(layout.first(m), layout.counts[m], measure.across) for m, measure in enumerate(measures)]
+        for batch in batches:
+            column = batch.column("bytes")
+            offsets = np.append(0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)))
+            data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+            keys = list(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True))
+            for m, (measure, packer) in enumerate(zip(measures, packers, strict=True)):
+                codes, first = words_of(data, offsets) if measure.unit == "word" else (data, offsets)
+                asked = packer.fresh(keys) & (np.diff(first) >= measure.length)
+                text, place = places_of(measure, m, batch, first, asked)
+                number = np.array([packer.keys[k] for k in keys], np.int64)
+                packer.add(number[text], place, *window_names(codes, first[text] + place, length_of(measure)))
+                if packer.held >= flush:
+                    yield from _table(list(packer.rows()), BLOB_NAMES).to_batches()
+        for packer in packers:
+            yield from _table(list(packer.rows()), BLOB_NAMES).to_batches()
+
+    return giving_back(run)
+
+
+def _sampled(measure: Measure, m: int, batch: pa.RecordBatch, first: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places on the difference cover."""
+    v, residues = difference_cover(measure.q)
+    rooms = np.where(asked, np.diff(first) - measure.seed + 1, 0)
+    marks = np.zeros(v, bool)
+    marks[list(residues)] = True
+    every = np.flatnonzero(np.resize(marks, rooms.max(initial=0)))
+    counts = np.searchsorted(every, rooms)
+    return np.repeat(np.arange(len(rooms)), counts), every[_ranges(counts)]
+
+
+def _reached(measure: Measure, m: int, batch: pa.RecordBatch, first: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places from which a repeated sampled one is within reach."""
+    v = difference_cover(measure.q)[0]
+    hits = [_read_places(p) if p is not None and ok else np.zeros(0, np.int64) for p, ok in zip(batch.column(f"places_{m}").to_pylist(), asked, strict=True)]
+    counts = np.fromiter(map(len, hits), np.int64, len(hits))
+    hits, start = np.concatenate([*hits, np.zeros(0, np.int64)]), np.repeat(first[:-1], counts)
+    reach = np.zeros(first[-1] + 1, np.int32)
+    np.add.at(reach, start + np.maximum(hits - v + 1, 0), 1)
+    np.add.at(reach, start + hits + 1, -1)
+    found = np.flatnonzero(np.cumsum(reach, dtype=np.int32)[:-1])
+    text = np.searchsorted(first, found, side="right") - 1
+    fits = found + measure.length <= first[text + 1]
+    return text[fits], (found - first[text])[fits]
+
+
+BLOB_NAMES = [c.split()[0] for c in BLOB.split(", ")]
+SLICE_NAMES = [c.split()[0] for c in SLICE.split(", ")]
+
+
+def _repeated(table: pa.Table, measures: list[Measure], layout: Layout) -> pa.Table:
     """Sort a bucket's names and compare neighbours: the places of those names that stand at two places or more.
 
     Copies of one text have one key, so their equal places are one. The places go, text after text, to the slice of
     the texts that a later group gathers.
     """
-    names, key, size, place = _unpack(table)
+    m = layout.measure_of(table.column("bucket")[0].as_py())
+    sure, table = table.filter(pc.is_null(table.column("names"))), table.filter(pc.is_valid(table.column("names")))
+    names = np.frombuffer(b"".join(table.column("names").to_pylist()), np.uint64)
+    key, size, place = _entries(table)
     order = np.lexsort((place, size, key, names))
     names, key, size, place = names[order], key[order], size[order], place[order]
     same = names[1:] == names[:-1]
-    other = same & ((key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (place[1:] != place[:-1]))
+    other = same & ((key[1:] != key[:-1]) | (size[1:] != size[:-1]) | ((place[1:] != place[:-1]) & (not measures[m].across)))
     group = np.cumsum(np.append(True, ~same)) - 1 if len(names) else np.zeros(0, np.int64)
     varied = np.zeros(group[-1] + 1 if len(group) else 0, bool)
     varied[group[1:][other]] = True
-    hit = np.flatnonzero(varied[group])
-    key, size, place = key[hit], size[hit], place[hit]
-    part = key % slices
-    order = np.lexsort((place, size, key, part))
-    rows = [[], [], [], [], []]
-    for these in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
-        first, counts, deltas = _runs(key[these], size[these], place[these])
-        row = (int(part[these[0]]), key[these][first].tobytes(), size[these][first].tobytes(), counts.astype(np.uint32).tobytes(), deltas.tobytes())
-        for column, value in zip(rows, row, strict=True):
-            column.append(value)
-    kinds = [pa.int32(), *[pa.binary()] * 4]
-    return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["slice", "keys", "sizes", "counts", "places"])
-
-
-SLICE = "slice int, keys binary, sizes binary, counts binary, places binary"
-
-
-def _runs(key: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted rows: where each text begins, how many rows it has, and the places as deltas within it."""
-    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1])))
-    deltas = np.diff(place, prepend=0)
-    deltas[first] = place[first]
-    return first, np.diff(np.append(first, len(key))), deltas.astype(np.uint32)
+    hit = varied[group]
+    key, size, place = (np.concatenate([x[hit], y]) for x, y in zip((key, size, place), _entries(sure), strict=True))
+    order = np.lexsort((place, size, key))
+    key, size, place = key[order], size[order], place[order]
+    part = key % layout.counts[m]
+    rows = [(layout.first(m) + int(part[these[0]]), *_packed(key[these], size[these], place[these])) for these in _split(part)]
+    return _table(rows, SLICE_NAMES)
 
 
-def _gathered(table: pa.Table) -> pa.Table:
-    """All places of each text of a slice, sorted."""
-    key, size, place = _texts_of(table)
+def _gathered(table: pa.Table, layout: Layout) -> tuple[int, list[tuple[int, int, np.ndarray]]]:
+    """The measure of a slice, and all places of each of its texts, sorted."""
+    key, size, place = _entries(table)
     order = np.lexsort((place, size, key))
     key, size, place = key[order], size[order], place[order]
-    first, counts, deltas = _runs(key, size, place) if len(key) else (np.zeros(0, np.int64),) * 3
-    places = [deltas[a : a + n].tobytes() for a, n in zip(first, counts, strict=True)]
-    return pa.table({"key": pa.array(key[first], pa.int64()), "n": pa.array(size[first], pa.int64()), "places": pa.array(places, pa.binary())})
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1]))) if len(key) else []
+    return layout.measure_of(table.column("slice")[0].as_py()), [
+        (int(key[a]), int(size[a]), np.unique(place[a:b])) for a, b in zip(first, [*first[1:], len(key)], strict=True)
+    ]
+
+
+def _placed(table: pa.Table, layout: Layout) -> pa.Table:
+    m, found = _gathered(table, layout)
+    places = [np.diff(p, prepend=0).astype(np.uint32).tobytes() for _, _, p in found]
+    columns = [pa.array([m] * len(found), pa.int32()), pa.array([k for k, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array(places, pa.binary())]
+    return pa.table(columns, ["measure", "key", "n", "places"])
 
 
-def _covered(table: pa.Table, length: int) -> pa.Table:
+def _covered(table: pa.Table, measures: list[Measure], layout: Layout) -> pa.Table:
     """Spans of each text of a slice: gathering and covering in one worker, as a second would only hold more memory."""
-    found = _gathered(table)
-    spans = [[{"start": a, "stop": b} for a, b in cover(_read_places(p), length)] for p in found.column("places").to_pylist()]
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    return pa.table({"key": found.column("key"), "n": found.column("n"), "spans": pa.array(spans, kind)})
+    m, found = _gathered(table, layout)
+    spans = [[{"start": a, "stop": b} for a, b in cover(p, measures[m].length)] for _, _, p in found]
+    columns = [pa.array([m] * len(found), pa.int32()), pa.array([k for k, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64())]
+    return pa.table([*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["measure", "key", "n", "spans"])
 
 
 def _read_places(deltas: bytes) -> np.ndarray:
@@ -226,9 +402,17 @@ def _by_row(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
     return left.join(right, same, how).drop("__doc_id", *[f"__{c}" for c in keys])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q) -> DataFrame:
+SPANS = "array<struct<start:bigint,stop:bigint>>"
+
+
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, passage: int | None = None, word_q: int = WORD_Q
+) -> DataFrame:
     """Spans of each text's bytes that lie in a string of ``length`` bytes which also starts anywhere else.
 
+    With ``passage`` also spans of its words (runs without ASCII white space) that lie in a run of so many words which also stands in
+    another text, or in all of the text if it has that many words and occurs more than once.
+
     1. Sample: suffixes at positions of a difference cover get names, the fingerprints of their first
        length - v + 1 bytes; buckets of names are sorted and neighbours compared. For any two equal strings of ``length`` bytes some
        offset below v has both in the sample, so a string whose sampled suffixes are all unique is unique.
@@ -236,89 +420,82 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        ``length`` bytes, are sorted likewise, and a suffix whose neighbour has the same prefix is repeated.
     3. Texts that occur as a whole more than once need neither: if long enough, all of them is repeated.
 
-    Names are fingerprints (64 bits and the bucket) where the classical algorithm has dense ranks: a bucket is bounded however many
-    copies there are, and neither level needs a global order. Two different strings among n are confused with a chance of about n / 2^64.
-    Text keys are a 64-bit hash and the length. Null texts are empty; texts under ``length`` bytes have no spans; rows
+    Names are fingerprints where the classical algorithm has dense ranks, and the recursion is two levels deep, as only ``length``
+    bytes matter; neither level needs a global order. Strings are told apart by 64 bits and, independent of these, the bucket, so among n
+    names about n * BUCKET_NAMES / 2^65 pairs of different strings are expected to be confused: 2e-6 at 10^8 names, 0.4 at 2 * 10^13. A
+    name that repeats within a task reaches its bucket once a task, so a hot passage costs a bucket an entry a task, not an entry a
+    text. Text keys are a 64-bit hash and the length.
+
+    Null texts are empty; texts under ``length`` bytes have no spans; very long texts are hashed in parts; rows
     that repeat are copies of each other, as any equal texts; rows without an id count as any others. Other columns are ignored.
 
-    Returns doc_id, key, n_bytes, spans (array<struct<start,stop>>, bytes) — one row per input row.
+    Returns doc_id, key, n_bytes, spans (array<struct<start,stop>>, bytes) and, if asked for, passages (likewise, words) — one row per
+    input row.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    v, residues = difference_cover(q)
-    seed = length - v + 1
-    if seed < 1:
+    measures = [Measure("byte", length, q, False)] + ([Measure("word", passage, word_q, True)] if passage else [])
+    if any(m.seed < 1 for m in measures):
         raise ValueError("the string length must reach the cover's modulus")
+    least = min(length, 2 * passage - 1) if passage else length
     text = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.regexp_count(text, F.lit(WORD)) if passage else F.lit(0)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n"), text.cast("binary").alias("bytes"))
-    narrow = materialise(keyed.drop("bytes"))
-    total = narrow.where(F.col("n") >= length).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    texts = narrow.where(F.col("n") >= length).groupBy("key", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("speaker"))
-    sampled = np.zeros(v, bool)
-    sampled[list(residues)] = True
-
-    def sample(buckets: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                packer = _Packer(buckets)
-                for key, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "bytes")), strict=True):
-                    letters = np.frombuffer(data, np.uint8)
-                    starts = np.flatnonzero(np.resize(sampled, n - seed + 1))
-                    packer.add(key, n, window_names(letters, starts, seed), starts)
-                yield packer.batch()
-
-        return run
-
-    def merge(buckets: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                packer = _Packer(buckets)
-                for key, n, data, places in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "bytes", "places")), strict=True):
-                    letters, hits = np.frombuffer(data, np.uint8), _read_places(places)
-                    reach = np.zeros(n + 2, np.int32)
-                    np.add.at(reach, np.maximum(hits - v + 1, 0), 1)
-                    np.add.at(reach, hits + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(reach)[: n - length + 1])
-                    packer.add(key, n, window_names(letters, starts, length), starts)
-                yield packer.batch()
-
-        return run
-
-    def sort(rows: DataFrame, buckets: int, gather, schema: str) -> DataFrame:
-        """What ``gather`` makes of the places of repeated names, one row per text that has any."""
-        found = rows.groupBy("bucket").applyInArrow(lambda t: _repeated(t, buckets), SLICE)
+    narrow = materialise(
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n"), words.cast("long").alias("words"))
+    )
+    long_enough = narrow.where(F.col("n") >= least)
+    totals = long_enough.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    texts = long_enough.groupBy("key", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("speaker"))
+
+    def sort(rows: DataFrame, layout: Layout, places_of: Callable, length_of: Callable, gather: Callable, schema: str) -> DataFrame:
+        """What ``gather`` makes of the places of repeated names, one row per text and measure that has any."""
+        blobs = rows.mapInArrow(_named(measures, layout, places_of, length_of, FLUSH_NAMES), BLOB)
+        found = blobs.groupBy("bucket").applyInArrow(lambda t: _repeated(t, measures, layout), SLICE)
         return found.groupBy("slice").applyInArrow(gather, schema)
 
-    first = max(1, -(-int(total) * len(residues) // (v * BUCKET_NAMES)))
-    hits = materialise(sort(keyed.where(F.col("n") >= length).select("key", "n", "bytes").mapInArrow(sample(first), BLOB), first, _gathered, "key long, n long, places binary"))
-    found = hits.agg(F.coalesce(F.sum(F.expr("octet_length(places) div 4")), F.lit(0))).first()[0]
-    second = max(1, -(-int(found) * (v // len(residues)) * 2 // BUCKET_NAMES))
-    asked = hits.join(texts, ["key", "n"]).select("key", "n", "places", F.col("speaker").alias("doc_id")).withColumn("lane", _lanes("doc_id"))
-    near = materialise(_by_row(keyed.withColumn("lane", _lane("doc_id")), asked, ["key", "n", "lane"], "inner").select("doc_id", "key", "n", "bytes", "places"))
+    def per_text(df: DataFrame, what: str, names: list[str]) -> DataFrame:
+        """A row per text, with a column for each measure."""
+        return df.groupBy("key", "n").agg(*[F.first(F.when(F.col("measure") == m, F.col(what)), ignorenulls=True).alias(x) for m, x in enumerate(names)])
+
+    share = [len(c) / v for v, c in (difference_cover(m.q) for m in measures)]
+    layout = Layout(tuple(max(1, -(-int(n * part) // BUCKET_NAMES)) for n, part in zip(totals, share, strict=False)))
+    hits = materialise(
+        sort(keyed.where(F.col("n") >= least).select("key", "n", "bytes"), layout, _sampled, lambda m: m.seed, lambda t: _placed(t, layout), "measure int, key long, n long, places binary")
+    )
+    found = {r["measure"]: r["n"] for r in hits.groupBy("measure").agg(F.sum(F.expr("octet_length(places) div 4")).alias("n")).collect()}
+    second = Layout(tuple(max(1, -(-int(found.get(m, 0) / part * 2) // BUCKET_NAMES)) for m, part in enumerate(share)))
+    places = [f"places_{m}" for m in range(len(measures))]
+    asked = per_text(hits, "places", places).join(texts, ["key", "n"]).select("key", "n", *places, F.col("speaker").alias("doc_id")).withColumn("lane", _lanes("doc_id"))
+    near = materialise(_by_row(keyed.withColumn("lane", _lane("doc_id")), asked, ["key", "n", "lane"], "inner").select("doc_id", "key", "n", "bytes", *places))
     # of the rows of a text that has no id at all, one speaks
     near = near.where("doc_id is not null").unionByName(near.where("doc_id is null").dropDuplicates(["key", "n"])).drop("doc_id")
-    spans = materialise(
-        sort(near.mapInArrow(merge(second), BLOB), second, lambda t: _covered(t, length), "key long, n long, spans array<struct<start:bigint,stop:bigint>>")
-    )
+    spans = materialise(sort(near, second, _reached, lambda m: m.length, lambda t: _covered(t, measures, second), f"measure int, key long, n long, spans {SPANS}"))
     # copies may be many: they find their text in salted parts; a text that stands alone is found by its row's id
+    outs = ["spans", "passages"][: len(measures)]
     salt = F.when(F.col("doc_id").isNull(), _lane("doc_id")).otherwise(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SALTS)))
     copied = texts.where("copies > 1").select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("copied"))
-    single = spans.join(texts.where("copies = 1"), ["key", "n"]).select("key", "n", F.col("speaker").alias("doc_id"), "spans").withColumn("lane", F.lit(-1).cast("long"))
+    single = per_text(spans, "spans", outs).join(texts.where("copies = 1"), ["key", "n"]).select("key", "n", F.col("speaker").alias("doc_id"), *outs).withColumn("lane", F.lit(-1).cast("long"))
     found = narrow.withColumn("salt", salt).join(copied, ["key", "n", "salt"], "left")
     found = _by_row(found.withColumn("lane", F.when(F.col("copied"), F.col("salt")).otherwise(F.lit(-1).cast("long"))), single, ["key", "n", "lane"], "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
-    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
-    return found.select("doc_id", "key", F.col("n").alias("n_bytes"), F.when(F.col("copied"), whole).otherwise(F.coalesce("spans", none)).alias("spans"))
+    none = F.expr(f"cast(array() as {SPANS})")
+    whole = lambda size, least: F.when(F.col(size) >= least, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col(size).alias("stop")))).otherwise(none)
+    every = zip(outs, ("n", "words"), (length, passage), strict=False)
+    return found.select(
+        "doc_id", "key", F.col("n").alias("n_bytes"), *[F.when(F.col("copied"), whole(size, least)).otherwise(F.coalesce(out, none)).alias(out) for out, size, least in every]
+    )
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What is left of each text: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes).
+    """What is left of each text: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) and passages (none where spans has no such column).
 
     spans: as repeated_spans gives them for the same rows. Rows that repeat an id, or have none, are told apart by their texts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), text.cast("binary").alias("bytes"))
-    some = materialise(spans.where(F.size("spans") > 0))
+    if "passages" not in spans.columns:
+        spans = spans.withColumn("passages", F.expr(f"cast(array() as {SPANS})"))
+    some = materialise(spans.where((F.size("spans") > 0) | (F.size("passages") > 0)))
     some = some.dropDuplicates(["doc_id", "key", "n_bytes"]).withColumn("lane", _lanes("doc_id"))
     cut = _by_row(keyed.withColumn("lane", _lane("doc_id")), some, ["key", "n_bytes", "lane"], "left")
 
@@ -333,12 +510,12 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
                 runs.append(len(found))
                 digests.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+            made = [pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "passages"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made, batch.column("passages")], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return cut.select("doc_id", "n_bytes", "bytes", "spans").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    none = F.expr(f"cast(array() as {SPANS})")
+    return cut.select("doc_id", "n_bytes", "bytes", "spans", F.coalesce("passages", none).alias("passages")).mapInArrow(
+        giving_back(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, passages {SPANS}"
     )
