@@ -5,19 +5,18 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches
+from .common import Remembered, giving_back, pieces, small_batches, worker_cache
 
-#: Distinct words whose counts a worker remembers.
-WORDS = 600_000
-PAIRS = 1_000_000
+#: Distinct words, in each of two generations, whose counts a worker remembers.
+WORDS = 300_000
+PAIRS = 500_000
 PUNCTUATION = b".,;:!?"
 
 
@@ -151,29 +150,23 @@ class PrefixCounter:
         return sum(self.whole(self.letters_of(p)) for p in self.pieces.findall(self.normalise(text)))
 
 
-class _Counts(dict):
+class _Counts(Remembered):
     def __init__(self, counter: PrefixCounter):
-        super().__init__()
+        super().__init__(self.count, WORDS)
         self.counter = counter
 
-    def __missing__(self, word: bytes) -> int:
+    def count(self, word: bytes) -> int:
         if b"<" in word:
-            made = self.counter.count(word)
-        elif word[-1] in PUNCTUATION and word[:-1].isalpha():
+            return self.counter.count(word)
+        if word[-1] in PUNCTUATION and word[:-1].isalpha():
             # one more pre-token: what stands before it is counted once for all that may follow
-            made = self[word[:-1]] + self[word[-1:]]
-        elif (low := word.lower()) != word:
-            made = self[low]
-        else:
-            made = self.counter.count(word)
-        self[word] = made
-        return made
+            return self[word[:-1]] + self[word[-1:]]
+        return self[low] if (low := word.lower()) != word else self.counter.count(word)
 
 
-@lru_cache(maxsize=1)
 def _counts(path: str) -> _Counts:
     """One per worker process, kept from task to task."""
-    return _Counts(PrefixCounter(path))
+    return worker_cache(("token counts", path), lambda: _Counts(PrefixCounter(path)))
 
 
 def word_prefixes(text: bytes, counts: dict[bytes, int]) -> np.ndarray:
@@ -182,43 +175,45 @@ def word_prefixes(text: bytes, counts: dict[bytes, int]) -> np.ndarray:
     return np.cumsum(np.concatenate(each)) if each else np.zeros(0, np.int64)
 
 
-def within_budget(prefixes: list[int], budget: int) -> int:
-    """How many whole words of a text fit a budget of tokens, from its stored prefix counts."""
-    return int(np.searchsorted(np.asarray(prefixes), budget, side="right"))
+def total(prefixes: Column) -> Column:
+    """Tokens of a whole text, from its stored prefix counts."""
+    return F.coalesce(F.try_element_at(prefixes, F.lit(-1)), F.lit(0)).cast("long")
+
+
+def words_within(prefixes: Column, budget: int) -> Column:
+    """How many whole words of a text fit a budget of tokens, from its stored prefix counts: no text is encoded again."""
+    return F.when(total(prefixes) <= budget, F.size(prefixes)).otherwise(F.size(F.filter(prefixes, lambda n: n <= budget)))
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
-    """Exact token counts of whole texts, and with ``prefixes`` those of every prefix that ends with a word.
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exact token counts of every prefix of whole texts that ends with a word.
 
     Words are independent under this kind of vocabulary, so a worker counts each distinct word once, by the
-    prefix recurrence, and a text's counts are a running sum over its words. Nothing is shuffled.
+    recurrence over its prefixes, and a text's counts are a running sum over its words. They are stored, so that totals, limits and
+    places to truncate at are look-ups: total(), words_within(). Nothing is shuffled.
 
-    Null texts are empty: no bytes, no tokens. Rows that repeat are counted each; other columns are ignored.
+    Null texts are empty: no bytes, no words. Very long texts are read in parts. Rows that repeat are counted each; other columns
+    are ignored.
 
-    Returns doc_id, n_bytes, n_tokens and, if asked for, prefixes (array<bigint>).
+    Returns doc_id, n_bytes and prefixes (array<int>, one entry per word).
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _counts(path)
         for batch in batches:
-            sizes, totals, kept = [], [], []
+            sizes, kept = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                running = word_prefixes(text or b"", counts)
+                kept.append(word_prefixes(text or b"", counts))
                 sizes.append(len(text or b""))
-                totals.append(int(running[-1]) if len(running) else 0)
-                if prefixes:
-                    kept.append(running)
-                if len(counts) > WORDS:
-                    counts.clear()
+                counts.forget()
                 counts.counter.forget()
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())]
-            names = ["doc_id", "n_bytes", "n_tokens"]
-            if prefixes:
-                columns.append(pa.array(kept, pa.list_(pa.int64())))
-                names.append("prefixes")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            ends = np.cumsum([0, *map(len, kept)])
+            flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            prefixes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), prefixes], ["doc_id", "n_bytes", "prefixes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefixes array<bigint>" * prefixes
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        giving_back(run), f"doc_id {kind}, n_bytes long, prefixes array<int>"
+    )

@@ -98,13 +98,15 @@ def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    got = {r["doc_id"]: r for r in token_counts.count_tokens(docs, WORDS, prefixes=True).collect()}
+    counted = token_counts.count_tokens(docs, WORDS)
+    counted = counted.withColumns({"n_tokens": token_counts.total(F.col("prefixes")), "within": token_counts.words_within(F.col("prefixes"), 2)})
+    got = {r["doc_id"]: r for r in counted.collect()}
     for i, text, _ in TEXTS:
         assert got[i]["n_tokens"] == len(library.encode(text or "", add_special_tokens=False).ids)
         assert got[i]["n_bytes"] == len((text or "").encode())
     words = TEXTS[0][1].split()
     assert got[0]["prefixes"] == [len(library.encode(" ".join(words[: k + 1]), add_special_tokens=False).ids) for k in range(len(words))]
-    assert token_counts.within_budget(got[0]["prefixes"], 2) == 2
+    assert got[0]["within"] == 2 and got[2]["within"] == 0 and got[6]["within"] == 1
     assert token_counts.count_tokens(none, WORDS).count() == 0
 
 
