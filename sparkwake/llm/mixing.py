@@ -12,6 +12,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 18
+#: Blocks that one task should draw from.
+TASK_BLOCKS = 1 << 17
 SEED = "mix-1"
 
 
@@ -82,6 +84,8 @@ def mix(
     whole number of blocks; a shard takes all its blocks as often as the quota allows, then a seeded
     choice of them once more.
 
+    Targets and quotas of sources are ranked in one task, a row a source; sources are few beside documents, however many those are.
+
     Null texts have size 0 and are never taken; a null source is a source of its own, the last by name. Rows that
     repeat are documents of their own. Other columns are ignored; an empty table gives no rows.
 
@@ -121,11 +125,14 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, block:
     laid = placed.withColumn("start", F.sum("size").over(line) - F.col("size")).drop("turn")
     shards = laid.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"))
     quotas = sainte_lague(shards.join(seats, "skey"), ["skey"], "shard", F.col("shard_size"), F.col("seats"))
+    words = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     chosen = (
         shards.join(quotas, ["skey", "shard"])
         .withColumn("n", F.ceil(F.col("shard_size") / block))
         .withColumn("quota", F.least("seats", F.col("n") * MAX_REPEAT))
         .where("quota > 0")
+        # a given number, as the shards are few rows, but not the blocks that they are exploded to
+        .repartition(max(1, -(-int(words) // (block * TASK_BLOCKS))), "skey", "shard")
         .select("skey", "shard", "n", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b"))
     )
     draw = Window.partitionBy("skey", "shard").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "skey", "shard", "b")), "b")
@@ -155,7 +162,7 @@ def draw_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them. Rows without an id draw by their texts, so that they do not all draw alike; of these, equal texts still do.
     """
     mixed = _mixed(docs, id_col, text_col, source_col, BLOCK_WORDS, SHARD_WORDS, seed)
-    shares = mixed.groupBy("doc_id", "size", "skey").agg((F.sum("taken") / F.count("*") / F.col("size")).alias("__ratio"))
+    shares = mixed.where("size > 0").groupBy("doc_id", "size", "skey").agg((F.sum("taken") / F.count("*") / F.col("size")).alias("__ratio"))
     shares = shares.where("__ratio > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("skey").alias("__skey"), "__ratio")
     drawn_by = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("no id|"), F.md5(text_col)))
     keyed = docs.withColumns({
