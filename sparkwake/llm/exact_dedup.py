@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .common import ascii_lower, materialise
 
 
-def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 256) -> DataFrame:
+def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """Decide for every row whether it stays; equal texts (after lower-casing A-Z) keep the largest id.
 
     Sampled splitters range-partition the rows on (first bytes, hash, salt) of the normalised text, so
@@ -17,7 +17,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     partitions; splitters stay short however long the texts are. Each partition is sorted externally by the whole
     normalised text and then by id, and each row is compared in full with its neighbour: the last row of
     a run is the run's survivor and knows the run's length. Runs of one text (at most ``salts``) are then
-    joined by their SHA-256.
+    joined by their SHA-256. Unless given, ``salts`` is twice the number of shuffle partitions, which follows the cluster and the table.
 
     Nulls count as empty texts; all empty texts form one group. Rows that repeat an id with the same text
     count in group_size and only one of them is kept. A null id sorts first, so it stays only if all ids of the
@@ -25,6 +25,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns doc_id, keep_id, group_size, kept, text_sha256 — one row per input row.
     """
+    salts = salts or max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")
     ).select(
