@@ -9,7 +9,9 @@ from __future__ import annotations
 import copy
 import hashlib
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 
@@ -339,6 +341,86 @@ class GateLifecycle:
         }
 
 
+class Model(Protocol):
+    """What a causal replay asks of a model; it is part of the state, so it must survive pickling."""
+
+    def predict(self, features: np.ndarray, target_id: str) -> float | None: ...
+
+    def on_label(self, target_id: str, features: np.ndarray, value: float) -> None: ...
+
+    def on_resolution(self, target_id: str, score: float) -> None: ...
+
+
+class Machine(Protocol):
+    """What the batch and the streaming runner ask of a machine."""
+
+    fields: str
+
+    def start(self) -> dict: ...
+
+    def step(self, s: dict, row: dict) -> dict: ...
+
+
+def negative_error(prediction: float, label: float) -> float:
+    return -abs(prediction - label)
+
+
+@dataclass
+class CausalReplay:
+    """Predictions by a model that learns from labels only once they are there.
+
+    Rows, in order of time and labels first: kind (label or decision), target_id, and features or value. A decision first settles, in order of
+    target, what has a label by now; then it predicts, or abstains. A label before its decision is an error; one without a value settles without a score.
+    """
+
+    model: Callable[[], Model]
+    score: Callable[[float, float], float] = negative_error
+    most_pending: int = 8192
+    fields: str = "status string, prediction double, settled array<string>, scores array<double>"
+
+    def start(self) -> dict:
+        return {"model": self.model(), "open": {}, "labels": {}}
+
+    def step(self, s: dict, row: dict) -> dict:
+        target = row["target_id"]
+        if row["kind"] == "label":
+            if target not in s["open"]:
+                raise ValueError(f"the label of {target} came before its decision")
+            s["labels"][target] = row["value"]
+            return {"status": "label", "prediction": None, "settled": [], "scores": []}
+        settled, scores = sorted(s["labels"]), []
+        for due in settled:
+            features, prediction = s["open"].pop(due)
+            value = s["labels"].pop(due)
+            scored = None if value is None or prediction is None else float(self.score(prediction, value))
+            if value is not None:
+                s["model"].on_label(due, features, value)
+            s["model"].on_resolution(due, scored)
+            scores.append(scored)
+        if len(s["open"]) >= self.most_pending:
+            raise OverflowError("too many predictions are open")
+        x = _vector(row["features"])
+        prediction = s["model"].predict(x, target)
+        s["open"][target] = (x, prediction)
+        return {"status": "abstained" if prediction is None else "predicted", "prediction": prediction, "settled": settled, "scores": scores}
+
+
+class MeanLabel:
+    """Predicts the mean of the labels so far."""
+
+    def __init__(self):
+        self.n, self.total = 0, 0.0
+
+    def predict(self, features: np.ndarray, target_id: str) -> float | None:
+        return self.total / self.n if self.n else None
+
+    def on_label(self, target_id: str, features: np.ndarray, value: float) -> None:
+        self.n, self.total = self.n + 1, self.total + value
+
+    def on_resolution(self, target_id: str, score: float | None) -> None:
+        pass
+
+
 #: Summed influence that counts as none.
 ROOT = 1e-12
 

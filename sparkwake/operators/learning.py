@@ -15,6 +15,33 @@ def rolling_ridge(df: DataFrame, series: str, time: str, x: str, y: str, window:
     return df.withColumn("slope", F.sum(F.col(x) * F.col(y)).over(frame) / (F.lit(ridge) + F.sum(F.col(x) * F.col(x)).over(frame)))
 
 
+def rolling_ridge_fit(df: DataFrame, series: str, time: str, features: str, y: str, width: int, window: int, ridge: float) -> DataFrame:
+    """Coefficients (intercept last, as regular as the others) of a ridge fit on the ``window`` rows before each row; null before there is one.
+
+    All moments are moving sums in one window; only the small solve is done in Python, for a batch of rows at once.
+    """
+    frame = Window.partitionBy(series).orderBy(time).rowsBetween(-window, -1)
+    x = [F.col(features)[i] for i in range(width)] + [F.lit(1.0)]
+    pairs = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
+    gram = F.array(*[F.sum(x[i] * x[j]).over(frame) for i, j in pairs])
+    moment = F.array(*[F.sum(xi * F.col(y)).over(frame) for xi in x])
+
+    @F.pandas_udf("array<double>")
+    def solve(g: pd.Series, m: pd.Series) -> pd.Series:
+        known = g.map(lambda v: v is not None and v[0] is not None and np.isfinite(np.asarray(v, float)).all())
+        out = pd.Series([None] * len(g), dtype=object)
+        if known.any():
+            flat, right = np.stack(g[known].to_numpy()).astype(float), np.stack(m[known].to_numpy()).astype(float)
+            a = np.zeros((len(flat), width + 1, width + 1))
+            for k, (i, j) in enumerate(pairs):
+                a[:, i, j] = a[:, j, i] = flat[:, k]
+            solved = np.linalg.solve(a + ridge * np.eye(width + 1), right[:, :, None])[:, :, 0]
+            out[known.to_numpy()] = pd.Series(list(solved), index=out.index[known.to_numpy()])
+        return out
+
+    return df.withColumns({"__g": gram, "__m": moment}).withColumn("coefficients", solve("__g", "__m")).drop("__g", "__m")
+
+
 def mean_label(df: DataFrame, series: str, time: str, label: str, delay: int) -> Column:
     """The mean of the labels known before each row: those of rows more than ``delay`` back."""
     return F.avg(label).over(Window.partitionBy(series).orderBy(time).rowsBetween(Window.unboundedPreceding, -delay - 1))

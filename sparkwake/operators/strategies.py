@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..schema import checked, finite
 from ..sources.feeds import not_in_ledger
+from .metrics import annualised, sharpe
 
 def trend_pnl(prices: DataFrame, lookbacks: list[int], series: str = "series", time: str = "t") -> DataFrame:
     """Return of each row under each lookback: long if yesterday's price stood above the mean of the days before it.
@@ -102,6 +103,23 @@ def fixed_trend(prices: DataFrame, lookback: int, costs: list[float], series: st
     return made.select(series, time, "position", "realised", "moved", grid).withColumn("net", F.col("position") * F.col("realised") - F.col("bps") / 1e4 * F.col("moved"))
 
 
+def select_on_training(
+    prices: DataFrame, lookbacks: list[int], cost: float, until, series: str = "series", time: str = "t", price: str = "price", annual: float = 252.0
+) -> DataFrame:
+    """The lookback of fixed_trend that does best on the rows up to ``until`` alone: by Sharpe ratio, then growth, then the smaller drawdown, then the shorter."""
+    each = None
+    for n in lookbacks:
+        one = fixed_trend(prices, n, [cost], series, time, price).where(F.col(time) <= until).withColumn("lookback", F.lit(n))
+        each = one if each is None else each.unionByName(one)
+    run = Window.partitionBy(series, "lookback").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    grown = each.withColumn("__g", F.product(1 + F.col("net")).over(run)).withColumn("__p", F.max("__g").over(run))
+    scored = grown.groupBy(series, "lookback").agg(
+        sharpe(F.col("net"), annual, 1e-15).alias("sharpe"), annualised(F.col("net"), annual).alias("growth"), F.max(1 - F.col("__g") / F.col("__p")).alias("drawdown")
+    )
+    best = Window.partitionBy(series).orderBy(F.desc("sharpe"), F.desc("growth"), "drawdown", "lookback")
+    return scored.withColumn("__k", F.row_number().over(best)).where("__k = 1").drop("__k")
+
+
 def guarded_signal(prices: DataFrame, lookback: int, today, stale_days: int, series: str = "series", date: str = "d", price: str = "price", strict: bool = True) -> DataFrame:
     """The signal after each series' last row: risk on while its price stands above the mean of the rows before.
 

@@ -109,6 +109,12 @@ def price_features(prices: DataFrame, series: str, time: str, price: str, scale:
     return made.where("ret_5 is not null and vol_20 is not null and label is not null")
 
 
+def panel_features(prices: DataFrame, series: str, time: str, price: str, scale: float = 1.0) -> DataFrame:
+    """price_features of names that share their rows, with one label for all: the mean of their next returns over ``scale``."""
+    made = price_features(prices, series, time, price, 1.0)
+    return made.withColumn("label", F.avg("label").over(Window.partitionBy(time)) / scale)
+
+
 def split_zscore(df: DataFrame, series: str, time: str, value: str, rows: int, floor: float = 1e-12) -> DataFrame:
     """z of all rows by the mean and deviation of each series' first ``rows`` rows alone, so nothing later reaches the fit."""
     first = df.withColumn("__n", F.row_number().over(along(series, time))).where(F.col("__n") <= rows)

@@ -208,3 +208,38 @@ def walk_forward_baseline(spark, sf):
     rule = F.col("candidate_return") > F.col("baseline_return")
     made = metrics.against_baseline(metrics.with_path(p, "series", "t", RATE), base, "series", "t", window=100, rule=rule)
     return rounded(made.select("series", "candidate_return", "baseline_return", "early_candidate", "later_baseline", "promoted", "false_promotion"), "candidate_return", "baseline_return", "early_candidate", "later_baseline")
+
+
+@query("hooked_replay", f"""with {PATH}, p as (select series, t, label, avg(label) over (partition by series order by t rows between unbounded preceding and 3 preceding) as m, lead(t, 3) over (partition by series order by t) as later from path)
+select series, t, round(m, 9) + 0 as prediction, coalesce(lag(t, 3) over (partition by series order by t) is not null, false) as settles,
+ round(lag(-abs(m - label), 3) over (partition by series order by t), 9) + 0 as score from p""")
+def hooked_replay(spark, sf):
+    """A model that learns the mean of the labels that have arrived, asked and told through hooks."""
+    p = path(spark, sf).withColumn("target_id", F.format_string("%06d", "t"))
+    decisions = p.select("series", (F.col("t") + 0.5).alias("at"), F.lit("decision").alias("kind"), "target_id", F.array("prediction").alias("features"), F.lit(None).cast("double").alias("value"))
+    labels = p.select("series", (F.col("t") + 3.25).alias("at"), F.lit("label").alias("kind"), "target_id", F.lit(None).cast("array<double>").alias("features"), F.col("label").alias("value"))
+    made = fold(decisions.unionByName(labels), ["series"], "at", steps.CausalReplay(steps.MeanLabel)).where("status <> 'label'")
+    score = F.try_element_at("scores", F.lit(1))
+    return made.select("series", F.floor("at").alias("t"), (F.round("prediction", 9) + 0.0).alias("prediction"), (F.size("settled") > 0).alias("settles"), (F.round(score, 9) + 0.0).alias("score"))
+
+
+@query("study_decisions", f"""with {PATH}, r as (select series, t, prediction * 20 as x, ret * 20 as y from path),
+s as (select *, sum(x * y * pow({_L}, -t)) over o as sxy, sum(x * x * pow({_L}, -t)) over o as sxx from r window o as (partition by series order by t)),
+q as (select series, t, x * coalesce(lag(sxy / (0.7 + sxx), 3) over (partition by series order by t), 0) as p from s)
+select series, series || '|' || t as decision_id, t as decision_time, t >= 6 as evaluated, case when t >= 6 then round(greatest(-1, least(1, p)), 6) + 0 else 0 end as position, case when t < 6 then 'before the start' end as reason from q""")
+def study_decisions(spark, sf):
+    from .study import economic_decisions
+
+    rows = _regression(spark, sf).withColumns({"step": F.col("t"), "available_step": F.col("t") + 3})
+    run = fold(rows, ["series"], "t", steps.RecursiveRun(1, ridge=0.7, neutral=_L)).withColumn("target", F.col("t"))
+    made = economic_decisions(run, ["series"], "t", "target", 6)
+    return made.select("series", "decision_id", "decision_time", "evaluated", (F.round("position", 6) + 0.0).alias("position"), "reason")
+
+
+@query("rolling_ridge_intercept", f"""with {PATH}, r as (select series, t, prediction * 20 as x, ret * 20 + 0.05 as y from path),
+m as (select series, t, sum(x * x) over w + 0.5 as a, sum(x) over w as b, count(*) over w + 0.5 as d, sum(x * y) over w as u, sum(y) over w as v, count(*) over w as n from r window w as (partition by series order by t rows between 32 preceding and 1 preceding))
+select series, t, case when n > 0 then round((d * u - b * v) / (a * d - b * b), 6) + 0 end as slope, case when n > 0 then round((a * v - b * u) / (a * d - b * b), 6) + 0 end as intercept from m""")
+def rolling_ridge_intercept(spark, sf):
+    rows = path(spark, sf).select("series", "t", F.array(F.col("prediction") * 20).alias("features"), (F.col("ret") * 20 + 0.05).alias("y"))
+    made = learning.rolling_ridge_fit(rows, "series", "t", "features", "y", 1, 32, 0.5)
+    return made.select("series", "t", (F.round(F.col("coefficients")[0], 6) + 0.0).alias("slope"), (F.round(F.col("coefficients")[1], 6) + 0.0).alias("intercept"))

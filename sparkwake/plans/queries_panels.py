@@ -207,3 +207,26 @@ select user_id, count(*)::bigint as n, min(event_id) as first_id, round(sum(valu
 def recent_history(spark, sf):
     kept = metrics.tail(table(spark, sf, "events"), "user_id", "event_id", 16)
     return kept.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.round(F.sum("value"), 6).alias("total"))
+
+
+_TREND = """m{0} as (select *, avg(price) over w as mean, count(price) over w as n, lead(price) over (partition by series order by t) / price - 1 as realised from daily window w as (partition by series order by t rows between {0} preceding and 1 preceding)),
+p{0} as (select *, case when n = {0} and price > mean then 1.0 else 0.0 end as position from m{0}), c{0} as (select *, abs(position - coalesce(lag(position) over (partition by series order by t), 0)) as moved from p{0}),
+n{0} as (select series, t, {0} as lookback, position * realised - 0.0005 * moved as net from c{0} where realised is not null and t <= 150)"""
+
+
+@query("training_selection", f"""with {DAILY}, {", ".join(_TREND.format(n) for n in (10, 30, 60))}, u as (select * from n10 union all select * from n30 union all select * from n60),
+g as (select *, product(1 + net) over (partition by series, lookback order by t) as grown from u), k as (select *, max(grown) over (partition by series, lookback order by t) as peak from g),
+s as (select series, lookback, coalesce(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252), 0) as sharpe, pow(product(1 + net), 252.0 / count(*)) - 1 as growth, max(1 - grown / peak) as drawdown from k group by 1, 2),
+r as (select *, row_number() over (partition by series order by sharpe desc, growth desc, drawdown, lookback) as place from s)
+select series, lookback::int as lookback, round(sharpe, 6) as sharpe, round(growth, 6) as growth, round(drawdown, 6) as drawdown from r where place = 1""")
+def training_selection(spark, sf):
+    return rounded(strategies.select_on_training(daily(spark, sf), [10, 30, 60], 5.0, 150), "sharpe", "growth", "drawdown")
+
+
+@query("panel_features", f"""with {_PANEL}, r as (select *, price / lag(price) over o - 1 as ret_1, price / lag(price, 5) over o - 1 as ret_5, lead(price) over o / price - 1 as nxt from full_panel window o as (partition by series order by t)),
+v as (select *, case when count(ret_1) over w = 20 then stddev_samp(ret_1) over w end as vol_20 from r window w as (partition by series order by t rows between 19 preceding and current row)),
+k as (select * from v where ret_5 is not null and vol_20 is not null and nxt is not null)
+select series, t, round(ret_1, 9) as ret_1, round(ret_5, 9) as ret_5, round(vol_20, 9) as vol_20, round(avg(nxt) over (partition by t) / 0.01, 6) as label from k""")
+def panel_features(spark, sf):
+    made = windows.panel_features(_panel(spark, sf), "series", "t", "price", 0.01).select("series", "t", "ret_1", "ret_5", "vol_20", "label")
+    return rounded(rounded(made, "ret_1", "ret_5", "vol_20", n=9), "label")

@@ -43,6 +43,14 @@ def recursive_study(data: DataFrame, keys: list[str], time: str, config: StudyCo
     return out.join(seen.select(*keys, time, "alarm", "score"), [*keys, time]) if detector is not None else out
 
 
+def economic_decisions(run: DataFrame, keys: list[str], time: str, target: str, start: int = 0) -> DataFrame:
+    """A run's positions as decisions of their own: what has no prediction, or lies before ``start``, is an abstention with its reason and no position."""
+    reason = F.when(F.col(time) < start, "before the start").when(F.col("prediction").isNull(), "no prediction")
+    made = run.withColumn("reason", reason).withColumn("evaluated", F.col("reason").isNull())
+    position = F.when(F.col("evaluated"), F.col("position")).otherwise(0.0)
+    return made.select(*keys, F.concat_ws("|", *keys, target).alias("decision_id"), F.col(target).alias("target_id"), F.col(time).alias("decision_time"), position.alias("position"), "evaluated", "reason")
+
+
 def promotion_study(challenger: DataFrame, incumbent: DataFrame, keys: list[str], time: str, config: StudyConfig) -> DataFrame:
     """Paired evidence of two studies on the same rows, in order of settlement: when, if ever, the challenger is promoted.
 
