@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -14,30 +14,20 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import Remembered, giving_back, materialise, small_batches, worker_cache
 
 SPACE = "▁"
 #: Code points of a chunk; how far a cut may move to a place that no piece crosses.
-CHUNK, SOFT = 262_144, 1_024
-#: Distinct segments, and pairs of pieces, that a worker remembers.
-SEGMENTS, PAIRS = 500_000, 2_000_000
+CHUNK, SOFT = 32_768, 1_024
+#: Chunks, or nodes of the tree above them, that one task combines.
+FAN = 64
+#: Distinct segments, in each of two generations, and pairs of pieces, that a worker remembers.
+SEGMENTS, PAIRS = 250_000, 500_000
 NEVER = float("-inf")
 
 State = tuple[int, str]
 
 
-class _Segments(dict):
-    """Ids of the segments met so far."""
-
-    def __init__(self, code: PieceCodec):
-        super().__init__()
-        self.code = code
-
-    def __missing__(self, segment: str) -> tuple[int, ...]:
-        made = self[segment] = self.code.encode_segment(segment)
-        return made
-
-
 class PieceCodec:
     """The pieces of a BPE model with byte fallback, and which of them can stand side by side.
 
@@ -61,7 +51,7 @@ class PieceCodec:
             raise ValueError("pieces of this model cross spaces or line ends")
         self.follow: dict[str, dict[str, bool]] = {"": {}}
         self.known = 0
-        self.segments = _Segments(self)
+        self.segments = Remembered(self.encode_segment, SEGMENTS)
         self.segment = self._pattern()
 
     def _pattern(self) -> re.Pattern:
@@ -142,8 +132,7 @@ class PieceCodec:
         return list(chain.from_iterable(map(self.segments.__getitem__, self.segment.findall(escaped))))
 
     def forget(self) -> None:
-        if len(self.segments) > SEGMENTS:
-            self.segments.clear()
+        self.segments.forget()
         if self.known > PAIRS:
             self.follow, self.known = {"": {}}, 0
 
@@ -163,10 +152,9 @@ class PieceCodec:
         return found
 
 
-@lru_cache(maxsize=1)
 def codec(path: str) -> PieceCodec:
     """One per worker process, kept from task to task."""
-    return PieceCodec(path)
+    return worker_cache(("piece codec", path), lambda: PieceCodec(path))
 
 
 def escape(text: str) -> str:
@@ -198,24 +186,38 @@ def _ends(text: str, soft_end: bool, stop: int, states: list[State], pieces: lis
 
 
 class Chunk:
-    """One chunk of an escaped text with what it must see of its neighbours."""
+    """One chunk of an escaped text with what it must see of its neighbours; ``inner``: its inner ids, where they are known already."""
 
-    def __init__(self, code: PieceCodec, left: str, body: str, right: str, soft_left: bool, soft_right: bool):
-        self.code, self.body, self.stop = code, body, len(body)
+    def __init__(self, code: PieceCodec, left: str, body: str, right: str, soft_left: bool, soft_right: bool, inner: list[int] | None = None):
+        self.code, self.body, self.stop, self.known = code, body, len(body), inner
         self.text = body if soft_right else body + right[: code.longest - 1]
         self.soft_right = soft_right
         self.entries: list[State] = [(0, "")] if soft_left else code.states(left, body + right)
         self.exits: list[State] = [(0, "")] if soft_right else code.states(left + body, right)
-        free = [x for x in range(1, self.stop) if _soft(body, x)] if not (soft_left and soft_right) else []
-        #: Free places inside: up to the first the entries differ, from the last on the exits do.
-        self.first, self.last = (free[0], free[-1]) if free else (None, None)
-
-    def _paths(self, entry: State):
-        """(walk, start, stop) runs that make up the chunk from one entry; None where they can't."""
+        free = [x for x in range(1, self.stop) if _soft(body, x)] if not (soft_left and soft_right) else [0, self.stop]
+        #: Free places: up to the first the entries differ, from the last on the exits do. None at all, and the whole chunk is walked.
+        self.first, self.last = (0 if soft_left else free[0], self.stop if soft_right else free[-1]) if free else (None, None)
+
+    def inner(self) -> list[int]:
+        """Ids between the first and the last free place, which no state at the ends changes."""
+        if self.known is None:
+            self.known = [] if self.first is None else self.code.encode(self.body[self.first : self.last])
+        return self.known
+
+    def _head(self, entry: State) -> list[int] | None:
+        """Ids from an entry to the first free place, None if none lead there."""
         over, piece = entry
-        if self.first is None:
-            return [(self.text, 0, over, piece)]
-        return [(self.body[: self.first], 0, over, piece), (self.body[self.first : self.last], self.first, 0, ""), (self.text[self.last :], self.last, 0, "")]
+        if over > self.first:
+            return None
+        pieces, begins = self.code.walk(self.body[: self.first], over, piece)
+        return self.code.trace(pieces, begins, over, self.first) if pieces[self.first] is not None else None
+
+    def _tails(self) -> list[list[int] | None]:
+        """Ids from the last free place to each exit."""
+        tail, stop = self.text[self.last :], self.stop - self.last
+        pieces, begins = self.code.walk(tail, 0, "")
+        ends = _ends(tail, self.soft_right, stop, self.exits, pieces)
+        return [self.code.trace(pieces, begins, 0, stop + over) if ok else None for ok, (over, _) in zip(ends, self.exits, strict=True)]
 
     def transfer(self) -> np.ndarray:
         """Max-plus matrix, entries by exits: ids on the way, or minus infinity."""
@@ -228,31 +230,20 @@ class Chunk:
                         if ok:
                             out[a, b] = len(self.code.trace(pieces, begins, over, self.stop + self.exits[b][0]))
             return out
-        head, middle, tail = self.body[: self.first], self.body[self.first : self.last], self.text[self.last :]
-        inner = len(self.code.encode(middle))
-        pieces, begins = self.code.walk(tail, 0, "")
-        after = [
-            len(self.code.trace(pieces, begins, 0, self.stop - self.last + over)) if ok else NEVER
-            for ok, (over, _) in zip(_ends(tail, self.soft_right, self.stop - self.last, self.exits, pieces), self.exits, strict=True)
-        ]
-        for a, (over, piece) in enumerate(self.entries):
-            if over <= self.first:
-                pieces, begins = self.code.walk(head, over, piece)
-                if pieces[self.first] is not None:
-                    out[a] = len(self.code.trace(pieces, begins, over, self.first)) + inner + np.array(after)
+        after = np.array([NEVER if ids is None else len(ids) for ids in self._tails()])
+        for a, entry in enumerate(self.entries):
+            head = self._head(entry)
+            if head is not None:
+                out[a] = len(head) + len(self.inner()) + after
         return out
 
     def backtrace(self, entry: int, leave: int) -> list[int]:
         """Ids between an entry and an exit that the transfer matrix joins."""
-        (over, piece), (beyond, _) = self.entries[entry], self.exits[leave]
         if self.first is None:
+            (over, piece), (beyond, _) = self.entries[entry], self.exits[leave]
             pieces, begins = self.code.walk(self.text, over, piece)
             return self.code.trace(pieces, begins, over, self.stop + beyond)
-        head, middle, tail = self.body[: self.first], self.body[self.first : self.last], self.text[self.last :]
-        pieces, begins = self.code.walk(head, over, piece)
-        ids = self.code.trace(pieces, begins, over, self.first) + self.code.encode(middle)
-        pieces, begins = self.code.walk(tail, 0, "")
-        return ids + self.code.trace(pieces, begins, 0, self.stop - self.last + beyond)
+        return [*self._head(self.entries[entry]), *self.inner(), *self._tails()[leave]]
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -263,18 +254,21 @@ def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def choose(transfers: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The entry and exit of each chunk on the best path: suffix products say what can still be reached."""
-    suffix = [transfers[-1]]
-    for t in reversed(transfers[:-1]):
+def choose(transfers: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[tuple[int, int]]:
+    """The entry and exit of each of some neighbours on the best path from an entry of the first to an exit of the last.
+
+    Suffix products say what can still be reached.
+    """
+    end = np.full((transfers[-1].shape[1], 1), NEVER)
+    end[leave] = 0
+    suffix = [end]
+    for t in reversed(transfers[1:]):
         suffix.append(compose(t, suffix[-1]))
-    suffix.reverse()
-    at, path = 0, []
-    for k, t in enumerate(transfers):
-        then = suffix[k + 1].max(axis=1) if k + 1 < len(transfers) else np.zeros(t.shape[1])
-        leave = int(np.argmax(t[at] + then))
-        path.append((at, leave))
-        at = leave
+    at, path = enter, []
+    for t, then in zip(transfers, reversed(suffix), strict=True):
+        out = int(np.argmax(t[at] + then[:, 0]))
+        path.append((at, out))
+        at = out
     return path
 
 
@@ -287,10 +281,11 @@ def _list_array(rows: list[list[int]]) -> pa.Array:
 def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """Piece ids of every whole text, as the model's own library gives them.
 
-    Texts of up to ``chunk`` code points are one chunk and never leave their task. Longer texts are cut into
-    chunks that are rows of their own: each yields its max-plus transfer matrix between the states at its two ends,
-    the matrices of a text are combined, and each chunk is then backtraced by itself from the state it was entered in.
-    Equal giant texts are encoded once.
+    Texts of up to ``chunk`` code points are one chunk, whose matrix is 1 x 1: they are walked at once and never leave
+    their task. Longer texts are cut into chunks that are rows of their own: each yields its max-plus transfer matrix between the states
+    at its two ends, the matrices of a text are combined up a tree of FAN children a node, the states that the best path passes are
+    handed down it, and each chunk is then backtraced by itself; what no state at its ends can change is encoded once, with the matrix.
+    Equal long texts are encoded once.
 
     Null texts count as empty and have no ids; rows that repeat are encoded each; of other columns those in
     ``carry`` are kept.
@@ -313,7 +308,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str,
                 columns.append(pa.array(map(code.decode, ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [*carry, "ids", "decoded"][: len(columns)])
 
-    small = rows.where(~big).mapInArrow(whole, f"{kinds}, ids array<int>" + ", decoded string" * decoded)
+    small = rows.where(~big).mapInArrow(giving_back(whole), f"{kinds}, ids array<int>" + ", decoded string" * decoded)
     giants = materialise(rows.where(big).withColumn("__key", F.sha2("__text", 256)))
     if giants.isEmpty():
         return small
@@ -338,27 +333,47 @@ def _encode_giants(giants: DataFrame, path: str, chunk: int) -> DataFrame:
 
     names = ["key", "k", "n", "left", "body", "right", "soft_left", "soft_right"]
     chunks = materialise(
-        giants.mapInArrow(cut, "key string, k long, n long, left string, body string, right string, soft_left boolean, soft_right boolean")
+        giants.mapInArrow(giving_back(cut), "key string, k long, n long, left string, body string, right string, soft_left boolean, soft_right boolean")
         .repartition("key", "k")
     )
 
     def made(row: dict) -> Chunk:
-        return Chunk(codec(path), *(row[c] for c in names[3:]))
+        return Chunk(codec(path), *(row[c] for c in names[3:]), row.get("inner"))
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [{"key": r["key"], "k": r["k"], "width": (t := made(r).transfer()).shape[1], "weights": t.ravel().tolist()} for r in batch.to_pylist()]
-            if out:
-                yield pa.RecordBatch.from_pylist(out)
+            parts = [made(r) for r in batch.to_pylist()]
+            weights = [p.transfer() for p in parts]
+            columns = [pa.array([w.shape[1] for w in weights], pa.int64()), pa.array([w.ravel().tolist() for w in weights], pa.list_(pa.float64())), _list_array([p.inner() for p in parts])]
+            codec(path).forget()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), *columns], ["key", "k", "width", "weights", "inner"])
+
+    def matrices(group: pd.DataFrame) -> list[np.ndarray]:
+        return [np.asarray(w).reshape(-1, int(n)) for w, n in zip(group["weights"], group["width"], strict=True)]
+
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        made = reduce(compose, matrices(group.sort_values("k")))
+        return pd.DataFrame({"key": group["key"].iloc[:1], "k": group["parent"].iloc[:1], "width": [made.shape[1]], "weights": [made.ravel().tolist()]})
 
     def paths(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k")
-        found = choose([np.asarray(w).reshape(-1, int(n)) for w, n in zip(group["weights"], group["width"], strict=True)])
+        found = choose(matrices(group), int(group["came"].iloc[0]), int(group["goes"].iloc[0]))
         return pd.DataFrame({"key": group["key"], "k": group["k"], "enter": [a for a, _ in found], "leave": [b for _, b in found]})
 
-    chosen = chunks.mapInArrow(transfers, "key string, k long, width long, weights array<double>").groupBy("key").applyInPandas(
-        paths, "key string, k long, enter long, leave long"
-    )
+    kind = "key string, k long, width long, weights array<double>"
+    under = F.expr(f"k div {FAN}").alias("parent")
+    walked = materialise(chunks.mapInArrow(giving_back(transfers), f"{kind}, inner array<int>"))
+    levels = [walked.drop("inner")]
+    most = chunks.agg(F.max("n")).first()[0] or 1
+    while most > FAN:
+        levels.append(materialise(levels[-1].select("*", under).groupBy("key", "parent").applyInPandas(product, kind)))
+        most = -(-most // FAN)
+    # a text begins and ends in one state, so its whole path enters and leaves by the first
+    chosen = levels[-1].select("key", F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("came"), F.lit(0).cast("long").alias("goes")).distinct()
+    for level in reversed(levels):
+        chosen = level.select("*", under).join(chosen, ["key", "parent"]).groupBy("key", "parent").applyInPandas(paths, "key string, k long, enter long, leave long")
+        if level is not levels[0]:
+            chosen = chosen.select("key", F.col("k").alias("parent"), F.col("enter").alias("came"), F.col("leave").alias("goes"))
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,7 +381,7 @@ def _encode_giants(giants: DataFrame, path: str, chunk: int) -> DataFrame:
             ids = _list_array([made(r).backtrace(r["enter"], r["leave"]) for r in rows])
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), ids], ["key", "k", "ids"])
 
-    traced = chunks.join(chosen, ["key", "k"]).mapInArrow(traces, "key string, k long, ids array<int>")
+    traced = chunks.join(walked.select("key", "k", "inner"), ["key", "k"]).join(chosen, ["key", "k"]).mapInArrow(giving_back(traces), "key string, k long, ids array<int>")
     return traced.groupBy(F.col("key").alias("__key")).agg(
         F.expr("flatten(transform(array_sort(collect_list(struct(k, ids))), x -> x.ids))").alias("ids")
     )
@@ -385,4 +400,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             texts = [None if ids is None else code.decode(ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*others, "decoded"])
 
-    return encoded.select(*others).mapInArrow(run, f"{kinds}, decoded string")
+    return encoded.select(*others).mapInArrow(giving_back(run), f"{kinds}, decoded string")
