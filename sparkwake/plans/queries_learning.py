@@ -254,7 +254,7 @@ def topology_detector(spark, sf):
 
 @query("persistent_cusum")
 def persistent_cusum(spark, sf):
-    return fold(lagged(spark, sf, 2), ["event_type"], "t", topology.PersistentCusum(cloud=8, least=6))
+    return detect.persistent_path(lagged(spark, sf, 2), ["event_type"], "t", topology.PersistentCusum(cloud=8, least=6))
 
 
 _SQUARE = "m{0} as (select x.cloud, x.i, y.j, min(greatest(x.d, y.d)) as d from m{1} x join m{1} y on x.cloud = y.cloud and x.j = y.i group by all)"

@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwake import registry
-from sparkwake.functions import steps
+from sparkwake.functions import steps, topology
+from sparkwake.operators import detect
+from sparkwake.operators.folds import fold
 
 from .oracle import same
 
@@ -53,3 +57,27 @@ def test_gates_of_many_challengers_match_sql(spark, crowd, name):
     sql = registry.oracle_sql()[name]
     assert con.sql(f"select count(promoted) > 0 from ({sql})").fetchall() == [(True,)]
     same(registry.queries()[name](spark, folder), sql, con)
+
+
+def rows(df):
+    return {(r["s"], r["t"]): r for r in df.collect()}
+
+
+@pytest.mark.parametrize("decay", [1.0, 0.9])
+def test_persistent_stretches_equal_the_fold(spark, decay):
+    x = F.round(F.sin("id") * 3 + F.col("id") % 7, 1)
+    values = spark.range(180).select((F.col("id") % 2).alias("s"), F.col("id").alias("t"), F.array(F.when(F.col("id").between(60, 80), 0.0).otherwise(x), F.cos("id")).alias("features"))
+    detector = topology.PersistentCusum(cloud=6, least=4, window=12, periods=4, threshold=2.0, decay=decay)
+    whole, cut = rows(fold(values, ["s"], "t", detector)), rows(detect.persistent_path(values, ["s"], "t", detector, stretch=20))
+    assert whole.keys() == cut.keys() and sum(r["ready"] for r in whole.values()) > 150
+    for k, r in whole.items():
+        assert (r["ready"], r["alarm"], r["state"] is None) == (cut[k]["ready"], cut[k]["alarm"], cut[k]["state"] is None)
+        assert np.allclose([*(r["state"] or []), r["innovation"], r["score"], r["factor"]], [*(cut[k]["state"] or []), cut[k]["innovation"], cut[k]["score"], cut[k]["factor"]], atol=1e-6)
+
+
+def test_a_graph_of_a_cloud_is_looked_at_once():
+    x = np.random.default_rng(1).exponential(size=4001)
+    detector, seen = topology.PersistentCusum(cloud=8, least=6), topology._state_of_graph
+    seen.cache_clear()
+    ready = detector.innovations(np.stack([x[1:], x[:-1]], axis=1), 0)[1]
+    assert ready.sum() == 4000 - 5 - 12 and seen.cache_info().misses < 1000
