@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.steps import Experts
+from .detect import STRETCH, in_stretches
+from .folds import fold
+
+
+def expert_path(df: DataFrame, keys: list[str], time: str, machine: Experts, stretch: int = STRETCH) -> DataFrame:
+    """What the experts make of each series (column utilities, and change where they are reset), as folding it row by row would.
+
+    An estimate depends on the last ``history`` rows, so series are cut into stretches. Only the choice depends on all before it: a
+    series' estimates pass through one task in order, a batch at a time.
+
+    Returns keys, time, expert, estimates, switched, was_reset.
+    """
+    if machine.reset_on_change and "change" in df.columns:
+        return fold(df, keys, time, machine)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, time])
+
+    def run(rows: np.ndarray, start: int) -> dict:
+        return {"estimates": machine.locations(rows, start).tolist(), "begins": np.arange(start, len(rows)) == 0}
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = -1
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = []
+            for picks, begins in zip(machine.choices(np.stack(batch["estimates"].to_numpy())).tolist(), batch["begins"].tolist(), strict=True):
+                before = -1 if begins else held
+                held = picks[before + 1]
+                at.append((machine.names[held], before not in (-1, held)))
+            expert, switched = zip(*at, strict=True)
+            yield batch[[*keys, time]].assign(expert=expert, estimates=batch["estimates"], switched=switched, was_reset=False)
+
+    # without a lead of a row, no stretch could tell that it is not the first
+    found = in_stretches(df, keys, time, "utilities", max(1, machine.reach), run, "estimates array<double>, begins boolean", max(stretch, machine.history))
+    return found.repartition(*keys).sortWithinPartitions(*keys, time).mapInPandas(choose, f"{kinds}, {machine.fields}")
+
 
 def rolling_ridge(df: DataFrame, series: str, time: str, x: str, y: str, window: int, ridge: float) -> DataFrame:
     """Slope of a ridge fit on the ``window`` rows before each row, from two moving sums."""

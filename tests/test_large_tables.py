@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkwake import registry
 from sparkwake.functions import steps, topology
-from sparkwake.operators import detect
+from sparkwake.operators import detect, learning
 from sparkwake.operators.folds import fold
 
 from .oracle import same
@@ -81,3 +81,40 @@ def test_a_graph_of_a_cloud_is_looked_at_once():
     seen.cache_clear()
     ready = detector.innovations(np.stack([x[1:], x[:-1]], axis=1), 0)[1]
     assert ready.sum() == 4000 - 5 - 12 and seen.cache_info().misses < 1000
+
+
+def bisected(values, scale, rounds=80):
+    """The root that plain bisection finds."""
+    v, low, high = np.asarray(values, float), min(values), max(values)
+    for _ in range(rounds):
+        middle = low + (high - low) / 2
+        z = (v - middle) / scale
+        total = np.log((1 + z + z * z / 2) / (1 - z + z * z / 2)).sum()
+        low, high = (middle if total >= -steps.ROOT else low), (middle if total <= steps.ROOT else high)
+    return low + (high - low) / 2
+
+
+def test_catoni_means_are_the_roots_that_bisection_finds(monkeypatch):
+    rng, looks, influence = np.random.default_rng(2), [], steps._influence
+    monkeypatch.setattr(steps, "_influence", lambda v, *rest: looks.append(len(v)) or influence(v, *rest))
+    kinds = [rng.exponential, lambda size: rng.standard_cauchy(size) * 3, lambda size: rng.integers(0, 2, size) * 40.0, lambda size: np.full(size, 0.3)]
+    columns = [kind(size=int(n)) for kind in kinds for n in rng.integers(1, 65, 50)] + [rng.normal(size=600) * 30]
+    for scale in (0.5, 7.0):
+        assert np.allclose(steps.catoni_means(columns, scale), [bisected(c, scale) for c in columns], rtol=1e-9, atol=1e-9)
+    looks.clear()
+    steps.catoni_means([rng.exponential(size=64) for _ in range(200)], 0.5)
+    assert sum(looks) < 20 * 200
+
+
+@pytest.mark.parametrize("names", [("a", "b", "c"), ("a", "b")])
+def test_expert_stretches_equal_the_fold(spark, names):
+    x = lambda k: F.round(F.sin((F.col("id") - k) / 5) + (F.col("id") - k) % 7 / 10, 2)
+    values = spark.range(600).select((F.col("id") % 2).alias("s"), F.col("id").alias("t"), F.array(*[x(2 * k) for k in range(len(names))]).alias("utilities"))
+    experts = steps.Experts(names, scale=0.5, switching_cost=0.15, history=8)
+    whole, cut = rows(fold(values, ["s"], "t", experts)), rows(learning.expert_path(values, ["s"], "t", experts, stretch=16))
+    assert whole.keys() == cut.keys() and sum(r["switched"] for r in whole.values()) > 20
+    for k, r in whole.items():
+        assert (r["expert"], r["switched"], r["was_reset"]) == (cut[k]["expert"], cut[k]["switched"], cut[k]["was_reset"])
+        assert np.allclose(r["estimates"], cut[k]["estimates"], atol=1e-9)
+    with pytest.raises(Exception, match="finite"):
+        learning.expert_path(values.withColumn("utilities", F.array(*[F.lit(float("nan"))] * len(names))), ["s"], "t", experts).collect()
